@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op9_quality_cascade": quality.op9_quality_cascade,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE,
+        "op9_quality_cascade": quality.ORACLE,
     }

@@ -31,6 +31,12 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row: a lambda's variable, since an
+    expression named inside another lambda would be computed again for every element."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where a session has none (as in
     tests) is a temporary folder of this machine set for it."""
