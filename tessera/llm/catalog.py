@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
