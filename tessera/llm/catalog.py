@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets
+from . import mixing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op8_simhash": simhash.op8_simhash,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
