@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, simhash
+from . import mixing, quality, secrets, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
         "op8_simhash": simhash.op8_simhash,
         "op10_secret_scan": secrets.op10_secret_scan,
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE,
+        "op4_url_filter": urls.ORACLE,
         "op9_quality_cascade": quality.ORACLE,
     }
