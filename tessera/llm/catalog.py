@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, simhash, urls
+from . import mixing, quality, secrets, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op7_token_counts": tokens.op7_token_counts,
         "op8_simhash": simhash.op8_simhash,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
