@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, simhash, tokens, urls
+from . import mixing, pieces, quality, secrets, simhash, tokens, urls
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
