@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, secrets, simhash, tokens, urls
+from . import mixing, pieces, quality, secrets, simhash, sketches, tokens, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op6_fingerprints": sketches.op6_fingerprints,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_simhash": simhash.op8_simhash,
         "op10_secret_scan": secrets.op10_secret_scan,
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE,
         "op4_url_filter": urls.ORACLE,
+        "op6_fingerprints": sketches.ORACLE,
         "op9_quality_cascade": quality.ORACLE,
     }

@@ -75,25 +75,29 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(diff: Column, cells: int) -> Column:
-    """Struct of the cells that are left and the keys found, with their sign."""
+    """Struct of the cells that are left and the keys found, with their sign. A round
+    that finds nothing ends it (later ones are passed over)."""
 
     def step(acc: Column, _: Column) -> Column:
         single = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["y"] == check_of(c["x"])))
-        found = F.array_distinct(F.transform(single, lambda c: F.struct(c["x"].alias("k"), c["n"].alias("s"))))
+        key = F.array_distinct(F.transform(single, lambda c: F.struct(c["x"].alias("k"), c["n"].alias("s"))))
+        found = F.transform(
+            key,
+            lambda k: F.struct(k["k"].alias("k"), k["s"].alias("s"), check_of(k["k"]).alias("y"), *[(place_of(k["k"], t, cells) + t * cells).alias(f"p{t}") for t in range(3)]),
+        )
 
         def without_found(f: Column) -> Column:
             def minus(acc2: Column, k: Column) -> Column:
-                return F.struct((acc2["n"] - k["s"]).alias("n"), acc2["x"].bitwiseXOR(k["k"]).alias("x"), acc2["y"].bitwiseXOR(check_of(k["k"])).alias("y"))
+                return F.struct((acc2["n"] - k["s"]).alias("n"), acc2["x"].bitwiseXOR(k["k"]).alias("x"), acc2["y"].bitwiseXOR(k["y"]).alias("y"))
 
-            def here(k: Column, i: Column) -> Column:
-                return F.call_function("shiftright", k["k"], 12 * F.floor(i / cells).cast("int")) % cells == i % cells
+            left = F.transform(acc["cells"], lambda c, i: F.aggregate(F.filter(f, lambda k: (k["p0"] == i) | (k["p1"] == i) | (k["p2"] == i)), c, minus))
+            more = F.concat(acc["found"], F.transform(f, lambda k: F.struct(k["k"].alias("k"), k["s"].alias("s"))))
+            return F.struct(left.cast(CELL).alias("cells"), more.cast(FOUND).alias("found"), F.lit(True).alias("go"))
 
-            left = F.transform(acc["cells"], lambda c, i: F.aggregate(F.filter(f, lambda k: here(k, i)), c, minus))
-            return F.struct(left.cast(CELL).alias("cells"), F.concat(acc["found"], f).cast(FOUND).alias("found"))
+        ended = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(False).alias("go"))
+        return F.when(~acc["go"], acc).otherwise(let(found, lambda f: F.when(F.size(f) == 0, ended).otherwise(without_found(f))))
 
-        return let(found, lambda f: F.when(F.size(f) == 0, acc).otherwise(without_found(f)))
-
-    begin = F.struct(diff.cast(CELL).alias("cells"), F.array().cast(FOUND).alias("found"))
+    begin = F.struct(diff.cast(CELL).alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("go"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step)
 
 
