@@ -37,7 +37,7 @@ CHUNK = 256
 #: Characters that are scanned at once.
 BLOCK = 1 << 20
 #: Pieces and prefixes that a worker keeps.
-MOST_PIECES = 400_000
+MOST_PIECES = 700_000
 MOST_STATES = 400_000
 LIMIT = 512
 
@@ -75,6 +75,8 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 
 
 GO, STARTS = _machine()
+#: The same tables as one row, by class, then state.
+FLAT_GO, FLAT_STARTS = np.ascontiguousarray(GO.T).reshape(-1), np.ascontiguousarray(STARTS.T).reshape(-1)
 
 
 #: Code points of letters and numbers that Unicode 16.0 added, the version
@@ -129,24 +131,27 @@ def piece_starts(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
     resets[:n] = first
     padded, resets = padded.reshape(rows, CHUNK), resets.reshape(rows, CHUNK)
     # State maps of all chunks, from every state at once.
+    columns = np.ascontiguousarray(padded.T) * np.uint8(N_STATES)
+    some = resets.any(axis=0)
     maps = np.tile(np.arange(N_STATES, dtype=np.uint8), (rows, 1))
     for j in range(CHUNK):
-        r = resets[:, j]
-        if r.any():
-            maps[r] = DONE
-        maps = GO[maps, padded[:, j : j + 1]]
+        if some[j]:
+            maps[resets[:, j]] = DONE
+        maps = FLAT_GO.take(maps + columns[j][:, None])
     # Inclusive prefix scan of map composition, in log2(rows) steps.
     step = 1
     while step < rows:
         maps[step:] = np.take_along_axis(maps[step:], maps[:-step].astype(np.intp), axis=1)
         step *= 2
     state = np.concatenate([[np.uint8(DONE)], maps[:-1, DONE]])
-    out = np.zeros((rows, CHUNK), dtype=bool)
+    out = np.zeros((CHUNK, rows), dtype=bool)
     for j in range(CHUNK):
-        state = np.where(resets[:, j], np.uint8(DONE), state)
-        out[:, j] = STARTS[state, padded[:, j]]
-        state = GO[state, padded[:, j]]
-    out = out.reshape(-1)[:n]
+        if some[j]:
+            state[resets[:, j]] = DONE
+        at = state + columns[j]
+        out[j] = FLAT_STARTS.take(at)
+        state = FLAT_GO.take(at)
+    out = out.T.reshape(-1)[:n]
     return out | first
 
 
@@ -179,15 +184,19 @@ class Counter:
             self.rank[vocab[x], vocab[y]] = (r, vocab[x + y])
             self.parts.setdefault(vocab[x + y], (vocab[x], vocab[y]))
         self.made = {made: r for r, made in self.rank.values()}
-        self.suffixes: dict[bytes, list[bytes]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def reset(self) -> None:
         self.pieces: dict[str, int] = {}
-        self.states = 0
-        self.trie: dict = {}
+        self.forget_states()
+
+    def forget_states(self) -> None:
+        #: (state << 8 | byte) -> next state; of each state the tokens that its last byte brought,
+        #: the last token of the encoding so far and where that token starts.
+        self.go: dict[int, int] = {}
+        self.brings, self.last, self.start = [0], [-1], [0]
 
     def compatible(self, left: int, right: int) -> bool:
         """Do two tokens side by side stay as they are under the merge order?
@@ -195,7 +204,7 @@ class Counter:
         Both are undone merge by merge, the latest first; at each point the pair that
         meets in the middle must not merge earlier than the merge just undone.
         """
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 20 | right)
         if known is not None:
             return known
         a, b, limit = left, right, len(self.made) + 1
@@ -215,36 +224,41 @@ class Counter:
                 limit, b = rb + 1, self.parts[b][0]
         if len(self.pairs) >= MOST_STATES:
             self.pairs.clear()
-        self.pairs[left, right] = ok
+        self.pairs[left << 20 | right] = ok
         return ok
 
     def count_piece(self, piece: bytes) -> int:
-        """Walks the transducer, adding states where there are none yet."""
-        if self.states > MOST_STATES:
-            self.trie, self.states = {}, 0
-        node, total = self.trie, 0
-        last: list[int] = []  # last token of each prefix
-        ids, longest = self.ids, self.longest
-        count = [0]
+        """Walks the transducer, adding states where there are none yet.
+
+        Only one of a prefix's suffixes can end its encoding, so they are tried in the
+        order of how often they do: the last token grown by the byte, the byte alone,
+        then all others, longest first.
+        """
+        if len(self.last) > MOST_STATES:
+            self.forget_states()
+        go, brings, lasts, starts, ids, longest = self.go, self.brings, self.last, self.start, self.ids, self.longest
+        state = total = 0
+        count, path = [0], []
         for i, byte in enumerate(piece):
-            step = node.get(byte)
-            if step is None:
+            key = state << 8 | byte
+            to = go.get(key)
+            if to is None:
                 end = i + 1
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(piece[start:end])
-                    if token is None:
-                        continue
-                    if start == 0 or self.compatible(last[start - 1], token):
+                grown = starts[state]
+                for at in (grown, i, *range(max(0, end - longest), i)):
+                    token = ids.get(piece[at:end])
+                    if token is not None and (at == 0 or self.compatible(path[at - 1], token)):
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
-                # next state, tokens that this byte brings, last token
-                step = node[byte] = ({}, count[start] + 1 - count[i], token)
-                self.states += 1
-            node, delta, token = step
-            total += delta
+                to = go[key] = len(lasts)
+                brings.append(count[at] + 1 - total)
+                lasts.append(token)
+                starts.append(at)
+            state = to
+            total += brings[to]
             count.append(total)
-            last.append(token)
+            path.append(lasts[to])
         return total
 
     def count(self, piece: str) -> int:
