@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, secrets, simhash, sketches, tokens, urls
+from . import mixing, pieces, pii, quality, secrets, simhash, sketches, tokens, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
+        "op5_surrogates": pii.op5_surrogates,
         "op6_fingerprints": sketches.op6_fingerprints,
         "op7_token_counts": tokens.op7_token_counts,
         "op8_simhash": simhash.op8_simhash,
