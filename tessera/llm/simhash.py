@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship, staged, text_of
+from .common import documents, ship, small, staged, text_of
 from .components import connected
 
 BITS = 3
@@ -36,6 +36,14 @@ BLOCK = 20_000
 FANOUT = 8
 QUARTERS = 4
 
+#: Near copies of 0.8 and more (five-word shingles) differ in about 0.15 of their bits, far more
+#: than three of 64. The pipeline's stage therefore takes WORDS fingerprints of different
+#: seeds, searches each, and links texts if at most WIDE_BITS of all bits differ.
+NEAR_SHINGLE = 5
+WORDS = 8
+WORD_BITS = 18
+WIDE_BITS = 96
+
 _LOWER = {i: i + 32 for i in range(65, 91)}
 #: White space of the word pattern; str.split() would also part words at other spaces.
 _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -151,10 +159,11 @@ def _children(a: np.ndarray, b: np.ndarray, n_below: int, same: bool) -> tuple[n
     return x[ok], y[ok]
 
 
-def linked(fp: np.ndarray, bits: int = BITS, top: bool = False) -> np.ndarray:
+def linked(fp: np.ndarray, bits: int = BITS, top: bool = False, also=None) -> np.ndarray:
     """For distinct uint64 fingerprints: index of the representative of each one's
     component under links of at most `bits` differing bits. With `top`, only links
-    between fingerprints whose upper 16 bits agree are looked for."""
+    between fingerprints whose upper 16 bits agree are looked for; `also`, given two
+    arrays of indices, says which of these pairs count (all, if left out)."""
     order = np.argsort(gray_rank(fp), kind="stable")
     own = fp[order]
     sets = _Sets(len(own))
@@ -164,8 +173,12 @@ def linked(fp: np.ndarray, bits: int = BITS, top: bool = False) -> np.ndarray:
         def close(diff: np.ndarray) -> np.ndarray:
             return (np.bitwise_count(diff) <= bits) & (diff <= limit)
 
+        def counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.ones(len(a), dtype=bool) if also is None else also(order[a], order[b])
+
         near = close(own[1:] ^ own[:-1])
         at = np.flatnonzero(near)
+        at = at[counts(at, at + 1)]
         sets.join(at, at + 1)
         levels = _levels(own)
         # Depth first in slices, so the frontier stays small; each slice sees the unions before it.
@@ -186,6 +199,8 @@ def linked(fp: np.ndarray, bits: int = BITS, top: bool = False) -> np.ndarray:
             if not len(a):
                 continue
             if level == 0:
+                ok = counts(a, b)
+                a, b = a[ok], b[ok]
                 before = sets.up
                 sets.join(a, b)
                 fresh += len(a)
@@ -198,7 +213,35 @@ def linked(fp: np.ndarray, bits: int = BITS, top: bool = False) -> np.ndarray:
     return out
 
 
-def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _solve_words(part: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for q in part["q"].unique():
+        fp = np.unique(part.loc[part["q"] == q, "fp"].to_numpy(dtype=np.int64)).view(np.uint64)
+        root = fp[linked(rotated(fp, int(q)), top=True)]
+        moved = root != fp
+        out.append(pd.DataFrame({"src": fp[moved].view(np.int64), "dst": root[moved].view(np.int64)}))
+    return pd.concat(out)
+
+
+def _solve_wide(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows (id, wide) of tasks (q, top, ...), q = 4 * word + quarter."""
+    out = []
+    for q in part["q"].unique():
+        rows = part.loc[part["q"] == q].drop_duplicates(["top", "id"])
+        wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), WORDS)
+        ids = rows["id"].to_numpy(dtype=np.int64)
+        word = np.ascontiguousarray(wide[:, int(q) // QUARTERS])
+
+        def close(a: np.ndarray, b: np.ndarray, wide: np.ndarray = wide) -> np.ndarray:
+            return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= WIDE_BITS
+
+        root = linked(rotated(word, int(q) % QUARTERS), bits=WORD_BITS, top=True, also=close)
+        moved = root != np.arange(len(rows))
+        out.append(pd.DataFrame({"src": ids[moved], "dst": ids[root[moved]]}))
+    return pd.concat(out)
+
+
+def _links(frames: Iterator[pd.DataFrame], solve=_solve_words) -> Iterator[pd.DataFrame]:
     """Rows sorted by task (q, top, i, j) -> links (src, dst).
 
     Small groups are solved together, about BLOCK rows at a time and always whole; the
@@ -207,15 +250,6 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept: list[pd.DataFrame] = []
     rows = 0
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for q in part["q"].unique():
-            fp = np.unique(part.loc[part["q"] == q, "fp"].to_numpy(dtype=np.int64)).view(np.uint64)
-            root = fp[linked(rotated(fp, int(q)), top=True)]
-            moved = root != fp
-            out.append(pd.DataFrame({"src": fp[moved].view(np.int64), "dst": root[moved].view(np.int64)}))
-        return pd.concat(out)
-
     for frame in frames:
         if not len(frame):
             continue
@@ -235,21 +269,29 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(pd.concat(kept))
 
 
+def _wide_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _links(frames, _solve_wide)
+
+
+def _tasks(rows: DataFrame, own: Column, block: int) -> DataFrame:
+    """rows (q, top, ...) of groups (q, top) with company, by tasks (q, top, i, j): a
+    group is parted into blocks by the hash `own`, and each pair of blocks is a task."""
+    sizes = rows.groupBy("q", "top").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(sizes, ["q", "top"]).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    mine = F.pmod(own, F.col("k")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    rows = rows.withColumn("ij", F.explode(pair)).select("*", F.col("ij.i").alias("i"), F.col("ij.j").alias("j")).drop("ij", "n", "k")
+    return rows.repartition("q", "top", "i", "j").sortWithinPartitions("q", "top", "i", "j")
+
+
 def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (column fp) that join the same
     components as all pairs with at most BITS differing bits do."""
+    ship(distinct.sparkSession)
     q = F.explode(F.sequence(F.lit(0), F.lit(QUARTERS - 1))).alias("q")
-    rows = distinct.select("fp", q)
     top = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("fp"), 16 * F.col("q")), F.lit(48)).cast("int")
-    rows = rows.withColumn("top", top)
-    sizes = rows.groupBy("q", "top").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["q", "top"]).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
-    # Groups beyond a block: a row goes to each pair of blocks that its own is part of.
-    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    rows = rows.withColumn("ij", F.explode(pair)).select("q", "top", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "fp")
-    rows = rows.repartition("q", "top", "i", "j").sortWithinPartitions("q", "top", "i", "j")
-    return rows.mapInPandas(_links, "src long, dst long")
+    rows = distinct.select("fp", q).withColumn("top", top)
+    return _tasks(rows, F.xxhash64("fp"), block).mapInPandas(_links, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -270,6 +312,65 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_simhash(text: str | None, size: int = NEAR_SHINGLE) -> bytes:
+    """WORDS fingerprints of 64 bits, one after the other; zero without words."""
+    shingles = shingles_of(text or "", size)
+    if not shingles:
+        return bytes(8 * WORDS)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    mix = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)]
+        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), dtype=np.uint64, count=len(part))
+        x = h[:, None] ^ mix[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits((2 * ones > len(shingles)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest doc_id
+    (nulls last), ties by a hash of the row; of rows alike in all columns one stays.
+
+    Null, empty and white-space texts are copies of each other. An empty table gives
+    an empty result. The texts themselves are shuffled only if more rows go than may be
+    broadcast.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series([wide_simhash(x) for x in t], dtype=object)
+
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    slim = staged(docs.select(F.col(doc_id).alias("id"), row.alias("row"), wide(text_of(text)).alias("wide")), "near-wide")
+    # Copies meet first: one entry for each fingerprint, numbered by a hash of it.
+    entry = F.xxhash64("wide").alias("id")
+    distinct = slim.select("wide").distinct().select(entry, "wide")
+    bands = F.explode(F.sequence(F.lit(0), F.lit(WORDS * QUARTERS - 1)))
+    rows = distinct.select("id", "wide", bands.alias("q"))
+    # Two bytes of the little-endian word, from its top for quarter 0.
+    at = F.floor(F.col("q") / QUARTERS) * 8 + 7 - 2 * (F.col("q") % QUARTERS)
+    top = F.conv(F.hex(F.concat(F.substr("wide", (at + 1).cast("int"), F.lit(1)), F.substr("wide", at.cast("int"), F.lit(1)))), 16, 10).cast("int")
+    links = _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long")
+    label = connected(links)
+    rows = slim.select(entry.alias("entry"), F.col("id"), "row").join(label.select(F.col("id").alias("entry"), "label"), "entry", "left")
+    rows = staged(rows.select(F.coalesce("label", "entry").alias("label"), "id", "row"), "near-rows")
+    keepers = rows.groupBy("label").agg(F.min(key).alias("keep"))
+    # Distinct kinds of rows by (id, row): those that go, and those of which several stay.
+    kinds = rows.groupBy("label", "id", "row").agg(F.count("*").alias("n")).join(keepers, "label").select("id", "row", "n", (key == F.col("keep")).alias("stays"))
+    kinds = staged(kinds.filter("not stays or n > 1").groupBy("id", "row").agg(F.max("stays").alias("stays")), "near-kinds")
+    names = [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn("__near_row", row)
+    marked = marked.join(small(kinds.select(F.col("id").alias("__near_id"), F.col("row").alias("__near_r"), F.col("stays").alias("__near_stays"))), F.col(doc_id).eqNullSafe(F.col("__near_id")) & (F.col("__near_row") == F.col("__near_r")), "left")
+    alone = marked.filter(F.col("__near_stays").isNull()).select(*names)
+    return alone.unionByName(marked.filter("__near_stays").select(*names).dropDuplicates()) if not kinds.filter("stays").isEmpty() else alone
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rows = near_duplicates(docs)
