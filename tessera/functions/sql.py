@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.plans.tables import ship
@@ -26,7 +27,7 @@ def _formatted(text: str | None) -> tuple[str | None, str | None]:
         return None, str(e)
 
 
-@F.pandas_udf("output string, error string")
+@F.pandas_udf(T.StructType([T.StructField("output", T.StringType()), T.StructField("error", T.StringType())]))
 def _format(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_formatted(t) for t in texts], columns=["output", "error"], dtype=object)
 
@@ -43,7 +44,7 @@ def format_corpus(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in files.columns], "__f.output", "__f.error", (F.col("__f.output") != F.col(text)).alias("changed"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _diff(before: pd.Series, after: pd.Series) -> pd.Series:
     def one(a, b):
         if a is None or b is None:
@@ -125,7 +126,7 @@ def statement_rows(files: DataFrame, key: str = "path", text: str = "text") -> D
     return files.select(key, F.inline(kinds(F.col(text))))
 
 
-@F.pandas_udf("delimiter string, body string")
+@F.pandas_udf(T.StructType([T.StructField("delimiter", T.StringType()), T.StructField("body", T.StringType())]))
 def _dollar(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(lexer.split_dollar_quoted(t) if t is not None else None) or (None, None) for t in texts], columns=["delimiter", "body"], dtype=object)
 
@@ -135,7 +136,7 @@ def split_dollar_quoted(text: Column) -> Column:
     return _dollar(text)
 
 
-@F.pandas_udf("output string, understood boolean")
+@F.pandas_udf(T.StructType([T.StructField("output", T.StringType()), T.StructField("understood", T.BooleanType())]))
 def _plpgsql(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
@@ -149,7 +150,7 @@ def format_plpgsql(body: Column) -> Column:
     return _plpgsql(body)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _format_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _formatted(t)[0])
 
