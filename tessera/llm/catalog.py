@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, pii, quality, secrets, simhash, sketches, tokens, urls
+from . import mixing, passages, pieces, pii, quality, secrets, simhash, sketches, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_repeated_passages": passages.op3_repeated_passages,
         "op4_url_filter": urls.op4_url_filter,
         "op9_quality_cascade": quality.op9_quality_cascade,
         "op5_surrogates": pii.op5_surrogates,
