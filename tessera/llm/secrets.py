@@ -36,7 +36,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 #: Natural log of how much likelier an ordinary token is before its characters are seen.
 PRIOR_NATS = 10.0
 #: Labelled strings of either class, the bound of the training sample.
-SAMPLE_STRINGS = 4000
+SAMPLE_STRINGS = 20_000
 
 #: Words of which ordinary identifiers are made.
 WORDS = (
