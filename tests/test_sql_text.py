@@ -71,7 +71,7 @@ LAYOUTS = [
     ("select 1 union all select 2;", "select 1\nunion all\nselect 2;\n"),
     ("insert into t(a, b) values (1, 2) on conflict (a) do nothing returning a;", "insert into t(a, b) values (1, 2) on conflict (a) do nothing returning a;\n"),
     ("update t set a = 1, b = 2 where c = 3;", "update t set a = 1, b = 2 where c = 3;\n"),
-    ("create table t (id int primary key, name text not null, unique (name));", "create table t\n (\n  id   int primary key,\n  name text not null,\n\n  unique(name)\n);\n"),
+    ("create table t (id int primary key, name text not null, unique (name));", "create table t\n (\n  id   int primary key,\n  name text not null,\n\n  unique (name)\n);\n"),
     ("select a::int, -1, b - -1, array[1,2], f(x) filter (where y);", "select a::int, -1, b - -1, array[1, 2], f(x) filter(where y);\n"),
     ("begin;\nselect 1;\ncommit;", "begin;\n\nselect 1;\n\ncommit;\n"),
     ("\\set x 1\nselect 1;", "\\set x 1\n\nselect 1;\n"),
@@ -87,6 +87,10 @@ def test_layout(text, want):
 
 
 LONG = [
+    "select season, count(*) filter(where milliseconds is null and position is null) as dnfs, percentile_cont(array[0.5, 0.9, 0.95, 0.99]) within group (order by cts - ats) as parr from r",
+    "grant select (invoice_id, customer_id, invoice_date, address, city, state, country, code) on invoices to reader, another_reader",
+    "alter default privileges in schema chinook grant select, insert, update, delete on tables to chinook_rw, another_one",
+    "create table p partition of some_schema.some_partitioned_table for values from (2022) to (2023) partition by hash (x)",
     "select a from t where exists (select 1 from some_long_table_name x where x.some_column = t.some_column and x.other > 5 and x.third < 9)",
     "select case when aaaaaaaaaaaaaaaaaaaaaa = 1 then 'bbbbbbbbbbbbbbbbbbbbbb' when ccccccccccccc then 'ddddddddddd' else 'e' end as f from t",
     "select row_number() over (partition by aaaaaaaaaaaaaaaaaaaaa, bbbbbbbbbbbbbbbbb order by cccccccccccccc desc nulls last rows between 1 preceding and current row) from t",
