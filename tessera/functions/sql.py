@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.plans.tables import ship
+from tessera.shipping import ship
 
 from . import lexer
 from .layout import body_lines, format_sql, plpgsql_lines

@@ -7,14 +7,12 @@ joins. Captures that hold no plan get an error, never an exception.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 from . import advice as _advice
 from . import jsonplan
 from .diff import unified
@@ -28,26 +26,6 @@ NODE = (
 )
 PROP = "node_id int, prop_no int, raw string, label string, value string, kind string, fields map<string,string>"
 ADVICE = "ord int, kind string, args array<string>, line string, origin string, annotation string"
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the Python workers, which may have no path to it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-
-
 def _struct(ddl: str) -> str:
     """array<struct<...>> of a column list."""
     depth, out, start = 0, [], 0

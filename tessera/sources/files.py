@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.sql import format_column, unified_diff
-from tessera.plans.tables import ship
+from tessera.shipping import ship
 
 
 def read_sql_files(spark: SparkSession, path: str | list[str], pattern: str = "*.sql") -> DataFrame:
