@@ -214,6 +214,59 @@ ORACLES = {
         (4, 3, 'INDEX_SCAN', 'INDEX_SCAN(trips#2 trips_pkey)'), (4, 4, 'NO_GATHER', 'NO_GATHER(trips trips#2)'),
         (6, 0, 'JOIN_ORDER', 'JOIN_ORDER("*SELECT* 1" a "*SELECT* 2" b)'), (6, 1, 'SEQ_SCAN', 'SEQ_SCAN(a b)'), (6, 2, 'NO_GATHER', 'NO_GATHER("*SELECT* 1" a "*SELECT* 2" b)'),
         (7, 0, 'JOIN_ORDER', 'JOIN_ORDER(c)'), (7, 1, 'SEQ_SCAN', 'SEQ_SCAN(c)'), (7, 2, 'NO_GATHER', 'NO_GATHER(c)')) t(plan_id, ord, kind, line)""",
+    "plan_advice_canonical": """select * from (values
+        (1, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (1, 'SEQ_SCAN', 'SEQ_SCAN(cars)'), (1, 'NO_GATHER', 'NO_GATHER(cars)'),
+        (2, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (2, 'INDEX_SCAN', 'INDEX_SCAN(cars cars_plate)'), (2, 'NO_GATHER', 'NO_GATHER(cars)'),
+        (3, 'JOIN_ORDER', 'JOIN_ORDER(t c)'), (3, 'HASH_JOIN', 'HASH_JOIN(c)'), (3, 'SEQ_SCAN', 'SEQ_SCAN(c t)'), (3, 'GATHER', 'GATHER((c t))'),
+        (4, 'JOIN_ORDER', 'JOIN_ORDER(trips trips#2)'), (4, 'NESTED_LOOP_MEMOIZE', 'NESTED_LOOP_MEMOIZE(trips#2)'), (4, 'SEQ_SCAN', 'SEQ_SCAN(trips)'),
+        (4, 'INDEX_SCAN', 'INDEX_SCAN(trips#2 trips_pkey)'), (4, 'NO_GATHER', 'NO_GATHER(trips trips#2)'),
+        (6, 'JOIN_ORDER', 'JOIN_ORDER("*SELECT* 1" a "*SELECT* 2" b)'), (6, 'SEQ_SCAN', 'SEQ_SCAN(a b)'), (6, 'NO_GATHER', 'NO_GATHER("*SELECT* 1" "*SELECT* 2" a b)'),
+        (7, 'JOIN_ORDER', 'JOIN_ORDER(c)'), (7, 'SEQ_SCAN', 'SEQ_SCAN(c)'), (7, 'NO_GATHER', 'NO_GATHER(c)')) t(plan_id, kind, line)""",
+    "format_sql_corpus": """select path, output || chr(10) as output, error, changed from (values
+        (1, '     select a, count(*) filter(where b > 1) as n
+       from t
+  left join u using(id)
+      where x between 1 and 2
+   group by a
+   order by n desc
+      limit 5;', null, true),
+        (2, 'create table t
+ (
+  id   serial primary key,
+  name text not null,
+
+  unique (name)
+);
+
+insert into t(name) values (''a''), (''b'');', null, true),
+        (3, 'with x as (
+  select 1 as a
+)
+select * from x  -- tail', null, true),
+        (4, null, 'unterminated string literal at line 1', null), (5, null, null, null)) t(path, output, error, changed)""",
+    "statement_kinds": "select * from (values (1, 0, 'query', 40, 0), (2, 0, 'create table', 19, 0), (2, 1, 'insert', 14, 0), (3, 0, 'query', 13, 1)) t(path, stmt_no, kind, n_tokens, n_comments)",
+    "plan_unified_diff": """select pair_id, '--- before
++++ after
+@@ plan structure @@
+' || diff || chr(10) as diff from (values
+        (1, '-SEQ_SCAN(cars)
++INDEX_SCAN(cars cars_plate)
+
+ execution time     18.245 ms ->     0.049 ms   (-99.7%)
+ planning time       0.301 ms ->     0.306 ms   (+1.7%)'),
+        (2, ' structure unchanged - the planner made the same decisions
+
+ execution time     18.245 ms ->    18.245 ms   (+0.0%)
+ planning time       0.301 ms ->     0.301 ms   (+0.0%)'),
+        (3, '-JOIN_ORDER(t c)
++JOIN_ORDER(trips trips#2)
+-HASH_JOIN(c)
+-SEQ_SCAN(t c)
++SEQ_SCAN(trips)
+-GATHER((t c))
++NESTED_LOOP_MEMOIZE(trips#2)
++INDEX_SCAN(trips#2 trips_pkey)
++NO_GATHER(trips trips#2)')) t(pair_id, diff)""",
     "plan_diff": """select * from (values
         (1, 'SEQ_SCAN', 'SEQ_SCAN(cars)', null), (1, 'INDEX_SCAN', null, 'INDEX_SCAN(cars cars_plate)'),
         (3, 'JOIN_ORDER', 'JOIN_ORDER(t c)', 'JOIN_ORDER(trips trips#2)'), (3, 'HASH_JOIN', 'HASH_JOIN(c)', null), (3, 'SEQ_SCAN', 'SEQ_SCAN(t c)', 'SEQ_SCAN(trips)'),
