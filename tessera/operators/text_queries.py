@@ -101,7 +101,7 @@ def statements_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def format_sql_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql.format_corpus(_literal(spark, SCRIPTS, "path bigint, text string")).select("path", "output", "error", "changed")
+    return sql.format_corpus(_literal(spark, SCRIPTS, "path bigint, text string")).select("path", "output", "error", F.col("changed").cast("string").alias("changed"))
 
 
 def format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,7 @@ ORACLES = {
         (4, 'INDEX_SCAN', 'INDEX_SCAN(trips#2 trips_pkey)'), (4, 'NO_GATHER', 'NO_GATHER(trips trips#2)'),
         (6, 'JOIN_ORDER', 'JOIN_ORDER("*SELECT* 1" a "*SELECT* 2" b)'), (6, 'SEQ_SCAN', 'SEQ_SCAN(a b)'), (6, 'NO_GATHER', 'NO_GATHER("*SELECT* 1" "*SELECT* 2" a b)'),
         (7, 'JOIN_ORDER', 'JOIN_ORDER(c)'), (7, 'SEQ_SCAN', 'SEQ_SCAN(c)'), (7, 'NO_GATHER', 'NO_GATHER(c)')) t(plan_id, kind, line)""",
-    "format_sql_corpus": """select path, output || chr(10) as output, error, changed from (values
+    "format_sql_corpus": """select path, output || chr(10) as output, error, cast(changed as varchar) as changed from (values
         (1, '     select a, count(*) filter(where b > 1) as n
        from t
   left join u using(id)
