@@ -274,10 +274,14 @@ def _wide_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tasks(rows: DataFrame, own: Column, block: int) -> DataFrame:
-    """rows (q, top, ...) of groups (q, top) with company, by tasks (q, top, i, j): a
-    group is parted into blocks by the hash `own`, and each pair of blocks is a task."""
-    sizes = rows.groupBy("q", "top").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["q", "top"]).withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    """rows (q, top, ...) by tasks (q, top, i, j): a group (q, top) beyond a block is parted
+    into blocks by the hash `own`, and each pair of its blocks is a task.
+
+    Only the sizes of such groups (at most one for every `block` rows) are joined to the
+    rows, so these are shuffled once, straight to their tasks.
+    """
+    sizes = staged(rows.groupBy("q", "top").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot-groups")
+    rows = rows.join(small(sizes), ["q", "top"], "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int"))
     mine = F.pmod(own, F.col("k")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     rows = rows.withColumn("ij", F.explode(pair)).select("*", F.col("ij.i").alias("i"), F.col("ij.j").alias("j")).drop("ij", "n", "k")
