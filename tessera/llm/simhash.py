@@ -42,7 +42,7 @@ QUARTERS = 4
 NEAR_SHINGLE = 5
 WORDS = 8
 WORD_BITS = 18
-WIDE_BITS = 96
+WIDE_BITS = 84
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 #: White space of the word pattern; str.split() would also part words at other spaces.
