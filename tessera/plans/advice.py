@@ -14,7 +14,6 @@ _SCANS = {
     "index-only-scan": "INDEX_ONLY_SCAN",
     "bitmap-heap-scan": "BITMAP_HEAP_SCAN",
     "tid-scan": "TID_SCAN",
-    "tid-range-scan": "TID_SCAN",
 }
 _WITH_INDEX = ("INDEX_SCAN", "INDEX_ONLY_SCAN")
 
