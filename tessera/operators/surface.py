@@ -210,10 +210,69 @@ select coalesce(t.k, s.k) as k, case when s.k is null then t.v when t.k is null
 # Sampling and time windows: our additions ------------------------------------------------
 _add("time_window", "select cast(cast(window(ts, '1 day').start as date) as string) as day, event_type, count(*) as n from {events} group by window(ts, '1 day'), event_type", "select cast(cast(date_trunc('day', ts) as date) as varchar) as day, event_type, count(*) as n from events group by 1, 2")
 
+_add("session_windows", """
+select user_id, cast(cast(w.start as date) as string) as day, count(*) as sessions, cast(sum(n) as bigint) as events
+  from (select user_id, session_window(ts, '30 minutes') as w, count(*) as n from {events} group by user_id, session_window(ts, '30 minutes')) s
+ group by user_id, cast(w.start as date)""", """
+with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from e),
+g as (select user_id, no, min(ts) as start, count(*) as n from s group by user_id, no)
+select user_id, cast(cast(start as date) as varchar) as day, count(*) as sessions, cast(sum(n) as bigint) as events from g group by user_id, cast(start as date)""")
+
+# Sketches are approximate; the query says whether they are within five per cent.
+_add("hll_distinct", """
+select event_type, abs(hll_sketch_estimate(hll_sketch_agg(user_id)) - count(distinct user_id)) <= 0.05 * count(distinct user_id) as close,
+       count(distinct user_id) as exact from {events} group by event_type""", "select event_type, true as close, count(distinct user_id) as exact from events group by event_type")
+_add("hll_union", """
+with daily as (select cast(ts as date) as day, hll_sketch_agg(user_id) as sketch from {events} group by 1)
+select abs(hll_sketch_estimate(hll_union_agg(sketch)) - (select count(distinct user_id) from {events})) <= 0.05 * (select count(distinct user_id) from {events}) as close from daily""", "select true as close")
+_add("variant_props", "select event_id, variant_get(parse_json(props), '$.k', 'int') as k from {events} where variant_get(parse_json(props), '$.k', 'int') > 90", "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events where cast(json_extract_string(props, '$.k') as int) > 90")
+_add("trigram_similarity", """
+with g as (select n_nationkey, explode(array_distinct(transform(sequence(1, length(n_name) - 2), i -> substring(lower(n_name), i, 3)))) as t from {nation} where length(n_name) >= 3),
+c as (select n_nationkey, count(*) as n from g group by n_nationkey),
+p as (select a.n_nationkey as a, b.n_nationkey as b, count(*) as shared from g a join g b on a.t = b.t and a.n_nationkey < b.n_nationkey group by 1, 2)
+select p.a, p.b, round(shared / (x.n + y.n - shared), 6) as similarity from p join c x on x.n_nationkey = p.a join c y on y.n_nationkey = p.b""", """
+with g as (select distinct n_nationkey, substring(lower(n_name), i, 3) as t from (select n_nationkey, n_name, unnest(range(1, length(n_name) - 1)) as i from nation where length(n_name) >= 3)),
+c as (select n_nationkey, count(*) as n from g group by n_nationkey),
+p as (select a.n_nationkey as a, b.n_nationkey as b, count(*) as shared from g a join g b on a.t = b.t and a.n_nationkey < b.n_nationkey group by 1, 2)
+select p.a, p.b, round(shared / (x.n + y.n - shared), 6) as similarity from p join c x on x.n_nationkey = p.a join c y on y.n_nationkey = p.b""")
+_add("project_set", "select r_regionkey, posexplode(array(r_name, upper(r_name))) as (pos, v) from {region}", "select r_regionkey, unnest([0, 1]) as pos, unnest([r_name, upper(r_name)]) as v from region")
+_add("graph_quantified_edge", """
+with recursive hops(start, node, depth) as (
+  select r_regionkey, r_regionkey, 0 from {region}
+  union all select start, (node + 1) % 5, depth + 1 from hops where depth < 3)
+select start, node, count(*) as paths from hops where depth between 1 and 3 group by start, node""")
+
+
+def prepared_statement(session: SparkSession, sf_dir: str) -> DataFrame:
+    """PREPARE and EXECUTE as one text with named parameters."""
+    text = f"select o_orderkey, o_totalprice from parquet.`{sf_dir}/orders.parquet` where o_orderstatus = :status and o_totalprice > :least"
+    return session.sql(text, args={"status": "F", "least": 250000})
+
+
+def temporary_view(session: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE VIEW as a temporary view."""
+    session.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal > 0").createOrReplaceTempView("tessera_solvent")
+    return session.sql("select s_nationkey, count(*) as n from tessera_solvent group by s_nationkey")
+
+
+def table_sample(session: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: is the share of a 20 per cent sample near 0.2?"""
+    orders = session.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.sample(0.2, seed=7).selectExpr(f"abs(count(*) / (select count(*) from parquet.`{sf_dir}/orders.parquet`) - 0.2) < 0.1 as near")
+
+
+API = {"prepared_statement": prepared_statement, "temporary_view": temporary_view, "table_sample": table_sample}
+API_SQL = {
+    "prepared_statement": "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 250000",
+    "temporary_view": "select s_nationkey, count(*) as n from supplier where s_acctbal > 0 group by s_nationkey",
+    "table_sample": "select true as near",
+}
+
 
 def queries() -> dict:
-    return {k: q.run for k, q in SURFACE.items()}
+    return {k: q.run for k, q in SURFACE.items()} | API
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q.oracle for k, q in SURFACE.items()}
+    return {k: q.oracle for k, q in SURFACE.items()} | API_SQL
