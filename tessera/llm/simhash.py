@@ -44,17 +44,21 @@ WORDS = 8
 WORD_BITS = 18
 WIDE_BITS = 84
 
-_LOWER = {i: i + 32 for i in range(65, 91)}
-#: White space of the word pattern; str.split() would also part words at other spaces.
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+def words_of(text: str) -> list[str]:
+    """Words of the contract's pattern; str.split() would also part them at other spaces."""
+    for space in "\t\n\x0b\x0c\r":
+        if space in text:
+            text = text.replace(space, " ")
+    return [w for w in text.split(" ") if w]
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, all else as it is (bytes know no other letters)."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shingles_of(text: str, size: int = SHINGLE) -> list[str]:
-    words = words_of(text.translate(_LOWER))
+    words = words_of(lower_ascii(text))
     if len(words) < size:
         return [" ".join(words)] if words else []
     return [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
