@@ -40,4 +40,4 @@ def connected(links: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
-    return labels.unionByName(roots)
+    return staged(labels.unionByName(roots), "labels")

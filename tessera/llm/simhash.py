@@ -316,7 +316,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = connected(near_links(distinct.select("fp")))
     found = distinct.join(label.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = found.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = found.select("fp", "label").join(least, "label").select("fp", "component_id")
+    # Written, so that the last join's sides are plain shuffles: AQE then splits the rows of a
+    # fingerprint that very many copies share.
+    classes = staged(found.select("fp", "label").join(least, "label").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
