@@ -27,12 +27,22 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
+@dataclass(frozen=True)
+class Text:
+    """A text column that is never null, and two counts that most rules divide by; they
+    are columns of their own, so each is computed once a row."""
+
+    text: Column
+    n_words: Column
+    word_chars: Column
+
+
 @dataclass(frozen=True)
 class Rule:
-    """name, and what makes the rejecting column of a text column (never null)."""
+    """name, and what makes the rejecting column (never null) of a text."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Text], Column]
 
 
 def words_of(text: Column) -> Column:
@@ -94,21 +104,31 @@ def n_stutters_of(words: Column) -> Column:
     return let(words, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (F.get(w, i - 1) == x))).cast("long"))
 
 
+def _copied_lines(text: Column, percent: int) -> Column:
+    lines = F.transform(F.array(worded_lines(text)), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > percent * F.size(x))
+    return F.get(lines, F.lit(0))
+
+
 def rules() -> list[Rule]:
     """The production rules. Each one is total: no text makes it null."""
-    letters = r"[^\p{L}]"
     return [
-        Rule("few_words", lambda t: word_count(t) < MIN_WORDS),
-        Rule("repeats", lambda t: 100 * n_repeat_words_of(words_of(t)) > MAX_REPEAT_PERCENT * word_count(t)),
-        Rule("symbols", lambda t: 10 * n_chars_of(t, SYMBOLS) > word_count(t)),
-        Rule("exclamations", lambda t: 10 * n_chars_of(t, "!") > word_count(t)),
-        Rule("capitals", lambda t: 100 * n_matching(t, r"[^\p{Lu}]") > 40 * n_matching(t, letters)),
-        Rule("copied_lines", lambda t: 100 * n_dup_lines_of(t) > 50 * F.size(worded_lines(t))),
-        Rule("word_length", lambda t: (n_matching(t, SPACE) < 2 * word_count(t)) | (n_matching(t, SPACE) > 15 * word_count(t))),
-        Rule("stutters", lambda t: 100 * n_stutters_of(words_of(t)) > 30 * word_count(t)),
+        Rule("few_words", lambda t: t.n_words < MIN_WORDS),
+        Rule("repeats", lambda t: 100 * n_repeat_words_of(words_of(t.text)) > MAX_REPEAT_PERCENT * t.n_words),
+        Rule("symbols", lambda t: 10 * n_chars_of(t.text, SYMBOLS) > t.n_words),
+        Rule("exclamations", lambda t: 10 * n_chars_of(t.text, "!") > t.n_words),
+        Rule("capitals", lambda t: 100 * n_matching(t.text, r"[^\p{Lu}]") > 40 * n_matching(t.text, r"[^\p{L}]")),
+        Rule("copied_lines", lambda t: _copied_lines(t.text, 50)),
+        Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
+        Rule("stutters", lambda t: 100 * n_stutters_of(words_of(t.text)) > 30 * t.n_words),
     ]
 
 
+def counted(docs: DataFrame, text: Column) -> tuple[DataFrame, Text]:
+    """docs with the two counts as columns __q_words and __q_chars, and the text to judge."""
+    rows = docs.withColumns({"__q_words": word_count(text), "__q_chars": n_matching(text, SPACE)})
+    return rows, Text(text, F.col("__q_words"), F.col("__q_chars"))
+
+
 @dataclass(frozen=True)
 class Measured:
     rule: Rule
@@ -126,16 +146,17 @@ def measure(docs: DataFrame, found: list[Rule], text: str = "text", sample_rows:
     n = docs.count()
     share = min(1.0, sample_rows / max(n, 1))
     sample = staged(docs.select(text_of(text).alias("t")).sample(share, seed=9), "rules-sample")
+    sample, t = counted(sample, F.col("t"))
     out = []
     for rule in found:
         began = time.perf_counter()
         # One group, pre-aggregated in each task: a row comes back, no text.
-        rows, hit = sample.agg(F.count("*"), F.count(F.when(rule.rejects(F.col("t")), 1))).first()
+        rows, hit = sample.agg(F.count("*"), F.count(F.when(rule.rejects(t), 1))).first()
         out.append(Measured(rule, time.perf_counter() - began, hit / max(rows, 1)))
     return sorted(out, key=lambda m: (-m.rank, m.rule.name))
 
 
-def cascade(text: Column, ordered: list[Rule]) -> Column:
+def cascade(text: Text, ordered: list[Rule]) -> Column:
     """True where no rule rejects. CASE stops at the first branch that holds."""
     case = None
     for rule in ordered:
@@ -152,7 +173,8 @@ def judge(docs: DataFrame, found: list[Rule] | None = None, text: str = "text",
     """
     docs = without(docs, [result])
     ordered = [m.rule for m in measure(docs, rules() if found is None else found, text)]
-    return docs.withColumn(result, cascade(text_of(text), ordered))
+    rows, t = counted(docs, text_of(text))
+    return rows.withColumn(result, cascade(t, ordered)).drop("__q_words", "__q_chars")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -178,7 +200,8 @@ def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:
     more = [m.rule for m in measure(docs, rules()) if m.rule.name not in base]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = measures(docs).withColumn("base_failed", failed)
-    rows = rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(text_of(), more)))
+    known = Text(text_of(), F.col("n_words"), F.col("word_chars"))
+    rows = rows.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(known, more)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
