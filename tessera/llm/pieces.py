@@ -21,7 +21,9 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,6 +187,11 @@ class Coder:
         else:  # no piece holds a line end, so it is a stretch of its own
             self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.known: dict[str, tuple[int, ...]] = {}
+        #: What an id stands for on its own; None for bytes that are part of a character.
+        self.surface: list[str | None] = [
+            (chr(self.bytes_of[i]) if self.bytes_of[i] < 0x80 else None) if k == BYTE else {UNKNOWN: " ⁇ ", CONTROL: ""}.get(k, p.replace(MARK, " "))
+            for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True))
+        ]
 
     def normalize(self, text: str) -> str:
         if self.model.squeeze:
@@ -253,25 +260,27 @@ class Coder:
         return out
 
     def decode(self, ids: list[int]) -> str:
+        surface = self.surface
+        try:
+            text = "".join([surface[i] for i in ids])
+        except TypeError:  # some bytes make characters together
+            text = self._decode_bytes(ids)
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def _decode_bytes(self, ids: list[int]) -> str:
         parts: list[str] = []
         held = bytearray()
-        pieces, kinds, bytes_of = self.model.pieces, self.model.kinds, self.bytes_of
         for i in ids:
-            b = bytes_of.get(i)
-            if b is not None:
-                held.append(b)
+            if (s := self.surface[i]) is None:
+                held.append(self.bytes_of[i])
                 continue
             if held:
                 parts.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            if kinds[i] == UNKNOWN:
-                parts.append(" ⁇ ")
-            elif kinds[i] != CONTROL:
-                parts.append(pieces[i])
+            parts.append(s)
         if held:
             parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return "".join(parts)
 
 
 _coders: dict[int, Coder] = {}
@@ -314,9 +323,13 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 texts = part.column("__pieces_text").to_pylist()
                 ids = [c.encode(t) for t in texts]
                 back = [c.decode(i) for i in ids]
+                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                at_ = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(at_[-1]))
+                bytes_before = np.concatenate([[0], np.cumsum((flat >= low) & (flat <= high))])
                 columns = [part.column(f.name) for f in kept] + [
-                    pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()),
-                    pa.array((sum(low <= i <= high for i in x) for x in ids), pa.int64()), pa.array(back, pa.string()), pa.array((x == y for x, y in zip(texts, back, strict=True)), pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(at_), pa.array(flat)), pa.array(sizes), pa.array(bytes_before[at_[1:]] - bytes_before[at_[:-1]]),
+                    pa.array(back, pa.string()), pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
