@@ -182,10 +182,10 @@ ORACLES = {
     "token_kinds": f"select role, {_KIND} as kind, count(*) as n, count(distinct t) as distinct_tokens from (select role, unnest(regexp_extract_all(text, '{_RX}')) as t from conversations) group by 1, 2",
     "comment_lines": "select page_id, cast(len(list_filter(string_split(html, chr(10)), lambda x: contains(x, '--'))) as bigint) as n from pages",
     "statements_native": "select * from (values (1, 0, 41, 1), (2, 0, 20, 2), (2, 1, 15, 1)) t(path, stmt_no, n_tokens, depth)",
-    "plans": """select * from (values
+    "plans": """select plan_id, empty, cast(planning_ms as double) as planning_ms, cast(execution_ms as double) as execution_ms, error from (values
         (1, false, 0.301, 18.245, false), (2, false, 0.306, 0.049, false), (3, false, null, null, false), (4, false, 0.306, 0.049, false),
         (5, true, null, null, false), (6, false, null, null, false), (7, false, null, null, false), (8, false, null, null, true)) t(plan_id, empty, planning_ms, execution_ms, error)""",
-    "plan_nodes": """select * from (values
+    "plan_nodes": """select plan_id, node_id, parent_id, depth, type, prefixes, label, relation, alias, index_name, cast(rows_actual as double) as rows_actual, never_executed from (values
         (1, 0, null, 0, 'seq-scan', '', 'Seq Scan', 'cars', null, null, 1.0, false),
         (2, 0, null, 0, 'index-scan', '', 'Index Scan', 'cars', null, 'cars_plate', 1.0, false),
         (3, 0, null, 0, 'gather', '', 'Gather', null, null, null, null, false),

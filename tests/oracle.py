@@ -1,5 +1,6 @@
 """Runs a query's SQL in DuckDB and compares rows, whatever their order."""
 
+import decimal
 import math
 import os
 
@@ -18,6 +19,8 @@ def duck(sql: str, sf_dir: str):
 
 
 def plain(x):
+    if isinstance(x, decimal.Decimal):
+        x = float(x)
     if isinstance(x, float):
         return None if math.isnan(x) else round(x, 6)
     if isinstance(x, bool) or x is None:
