@@ -235,6 +235,19 @@ def test_planted_passages_are_found_and_clean_texts_are_left(spark):
         assert r.end_word - r.start_word >= 80 and r.share >= 0.8
 
 
+@pytest.mark.parametrize("length, gap", [(60, 40), (60, 80), (100, 150), (150, 20)])
+def test_two_passages_of_a_pair_are_both_found(spark, length, gap):
+    rng = random.Random(length + gap)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = fresh(length), fresh(length)
+    rows = [(i, " ".join(fresh(40) + one + fresh(gap) + two + fresh(40))) for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    covered = {w for r in got for w in range(r.start_word, r.end_word)}
+    planted = {*range(40, 40 + length), *range(40 + length + gap, 40 + 2 * length + gap)}
+    assert planted <= covered and all(r.share >= 0.8 for r in got)
+    assert sum(r.agreeing for r in got) == 2 * length
+
+
 def test_seed_of_equal_stretches():
     rng = random.Random(6)
     shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(passages.K + passages.W - 1))
