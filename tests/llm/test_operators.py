@@ -248,6 +248,19 @@ def test_two_passages_of_a_pair_are_both_found(spark, length, gap):
     assert sum(r.agreeing for r in got) == 2 * length
 
 
+def test_passage_whose_parts_have_earlier_owners_is_found(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for at, length in enumerate([50, 55, 60, 60, 80, 80, 80, 98, 98] * 3):
+        passage, half = fresh(length), length // 2
+        parts = [passage[:half], passage[half:], passage, passage]
+        rows += [(4 * at + k, " ".join(fresh(40) + part + fresh(40))) for k, part in enumerate(parts)]
+        want.add((4 * at + 3, 4 * at + 2, 40, 40 + length, 40, 40 + length))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.ref_id, r.start_word, r.end_word, r.ref_start, r.ref_end) for r in got} == want
+
+
 def test_seed_of_equal_stretches():
     rng = random.Random(6)
     shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(passages.K + passages.W - 1))
