@@ -261,6 +261,23 @@ def test_passage_whose_parts_have_earlier_owners_is_found(spark):
     assert {(r.doc_id, r.ref_id, r.start_word, r.end_word, r.ref_start, r.ref_end) for r in got} == want
 
 
+def test_changed_passages_are_found(spark):
+    rng = random.Random(22)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for at, (length, share) in enumerate([(60, 0.82), (60, 0.86), (120, 0.8), (120, 0.86), (120, 0.9)] * 20):
+        passage, n = fresh(length), round(length * (1 - share))
+        copy = list(passage)
+        for k in range(n):  # evenly spread, not at the ends
+            copy[int((k + 0.5) * length / n)] = fresh(1)[0]
+        rows += [(2 * at + k, " ".join(fresh(40) + part + fresh(40))) for k, part in enumerate((passage, copy))]
+        kinds[2 * at + 1] = (length, share)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.ref_id == r.doc_id - 1 and r.share >= 0.8 for r in got)
+    found = Counter(kinds[i] for i in {r.doc_id for r in got if r.agreeing >= 0.7 * kinds[r.doc_id][0]})
+    assert found[60, 0.82] >= 14 and all(found[k] >= 18 for k in kinds.values() if k != (60, 0.82)), found
+
+
 def test_seed_of_equal_stretches():
     rng = random.Random(6)
     shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(passages.K + passages.W - 1))
