@@ -38,11 +38,14 @@ QUARTERS = 4
 
 #: Near copies of 0.8 and more (five-word shingles) differ in about 0.15 of their bits, far more
 #: than three of 64. The pipeline's stage therefore takes WORDS fingerprints of different
-#: seeds, searches each, and links texts if at most WIDE_BITS of all bits differ.
+#: seeds, searches each by its TURNS pairs of adjacent bytes, takes texts as candidates if at most
+#: WIDE_BITS of all bits differ, and links those whose sets of shingles have likeness LIKE.
 NEAR_SHINGLE = 5
 WORDS = 8
-WORD_BITS = 18
-WIDE_BITS = 84
+TURNS = 8
+WORD_BITS = 24
+WIDE_BITS = 120
+LIKE = 0.8
 
 def words_of(text: str) -> list[str]:
     """Words of the contract's pattern; str.split() would also part them at other spaces."""
@@ -91,10 +94,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return docs.select(F.col(doc_id).alias("doc_id"), fp(text_of(text)).alias("fp"))
 
 
-def rotated(fp: np.ndarray, quarter: int) -> np.ndarray:
-    """uint64 fingerprints with a quarter's 16 bits on top."""
-    turn = np.uint64(16 * quarter)
-    return fp if quarter == 0 else (fp << turn) | (fp >> np.uint64(64 - 16 * quarter))
+def rotated(fp: np.ndarray, part: int, width: int = 16) -> np.ndarray:
+    """uint64 fingerprints turned by parts of `width` bits; a quarter's 16 bits come on top."""
+    turn = np.uint64(width * part)
+    return fp if part == 0 else (fp << turn) | (fp >> np.uint64(64 - width * part))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -163,14 +166,18 @@ def _children(a: np.ndarray, b: np.ndarray, n_below: int, same: bool) -> tuple[n
     return x[ok], y[ok]
 
 
-def linked(fp: np.ndarray, bits: int = BITS, top: bool = False, also=None) -> np.ndarray:
+def linked(fp: np.ndarray, bits: int = BITS, top: bool = False, also=None, start=None) -> np.ndarray:
     """For distinct uint64 fingerprints: index of the representative of each one's
     component under links of at most `bits` differing bits. With `top`, only links
     between fingerprints whose upper 16 bits agree are looked for; `also`, given two
-    arrays of indices, says which of these pairs count (all, if left out)."""
+    arrays of indices, says which of these pairs count (all, if left out); entries that
+    are alike in `start` are one component from the beginning."""
     order = np.argsort(gray_rank(fp), kind="stable")
     own = fp[order]
     sets = _Sets(len(own))
+    if start is not None:
+        _, first, of = np.unique(start[order], return_index=True, return_inverse=True)
+        sets.join(np.arange(len(own)), first[of])
     if len(own) > 1:
         limit = ~np.uint64(0) >> np.uint64(16) if top else ~np.uint64(0)
 
@@ -228,21 +235,74 @@ def _solve_words(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _solve_wide(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows (id, wide) of tasks (q, top, ...), q = 4 * word + quarter."""
-    out = []
+    """Rows (id, wide, comp) of tasks (q, top, ...), q = TURNS * word + turn -> candidate
+    pairs. Without comp, enough pairs to join all candidates; else all between two comps."""
+    out = [pd.DataFrame({"src": [], "dst": []}, dtype="int64")]
     for q in part["q"].unique():
         rows = part.loc[part["q"] == q].drop_duplicates(["top", "id"])
-        wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), WORDS)
+        wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), WORDS + 1)[:, :WORDS]
         ids = rows["id"].to_numpy(dtype=np.int64)
-        word = np.ascontiguousarray(wide[:, int(q) // QUARTERS])
+        comp = None if rows["comp"].isna().any() else rows["comp"].to_numpy(dtype=np.int64)
+        word = np.ascontiguousarray(wide[:, int(q) // TURNS])
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close(a: np.ndarray, b: np.ndarray, wide=wide, comp=comp, pairs=pairs) -> np.ndarray:
+            ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= WIDE_BITS
+            if comp is not None:
+                ok &= comp[a] != comp[b]
+            pairs.append((a[ok], b[ok]))
+            return ok if comp is None else np.zeros(len(a), dtype=bool)
+
+        linked(rotated(word, int(q) % TURNS, 8), bits=WORD_BITS, top=True, also=close, start=comp)
+        for a, b in pairs:
+            out.append(pd.DataFrame({"src": np.maximum(ids[a], ids[b]), "dst": np.minimum(ids[a], ids[b])}))
+    return pd.concat(out)
 
-        def close(a: np.ndarray, b: np.ndarray, wide: np.ndarray = wide) -> np.ndarray:
-            return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= WIDE_BITS
 
-        root = linked(rotated(word, int(q) % QUARTERS), bits=WORD_BITS, top=True, also=close)
-        moved = root != np.arange(len(rows))
-        out.append(pd.DataFrame({"src": ids[moved], "dst": ids[root[moved]]}))
-    return pd.concat(out)
+def likeness(a: str | None, b: str | None, size: int = NEAR_SHINGLE) -> float:
+    """Jaccard likeness of the sets of shingles; 1 if both are empty."""
+    x, y = set(shingles_of(a or "", size)), set(shingles_of(b or "", size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        like = [likeness(a, b) >= LIKE for a, b in zip(frame["a"], frame["b"], strict=True)]
+        yield frame[["src", "dst"]].assign(alike=like)
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Entries (id, wide, comp) -> distinct candidate pairs (src, dst)."""
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(WORDS * TURNS - 1))))
+    # Two neighbouring bytes of the little-endian word, from its top for turn 0.
+    word, turn = F.floor(F.col("q") / TURNS) * 8 + 1, F.col("q") % TURNS
+    byte = lambda at: F.substr("wide", (word + at).cast("int"), F.lit(1))
+    top = F.conv(F.hex(F.concat(byte(7 - turn), byte((14 - turn) % 8))), 16, 10).cast("int")
+    return _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long").distinct()
+
+
+def _alike_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (src, dst) that join the same components as all candidates of likeness LIKE do."""
+
+    def judged(pairs: DataFrame, label: str) -> DataFrame:
+        both = pairs.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
+        both = both.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b")
+        return staged(both.mapInPandas(_like, "src long, dst long, alike boolean"), label)
+
+    first = judged(staged(_candidates(entries.withColumn("comp", F.lit(None).cast("long"))), "near-pairs"), "near-judged")
+    links = first.filter("alike").select("src", "dst")
+    if first.filter("not alike").isEmpty():
+        return links
+    # A pair that failed may have joined others that are alike: where one did, all pairs between
+    # the components that hold are candidates.
+    group = connected(first.select("src", "dst"))
+    open_ = first.filter("not alike").select(F.col("src").alias("id")).join(group, "id").select("label").distinct()
+    again = group.join(open_, "label").select("id").join(entries, "id")
+    comp = connected(links).withColumnRenamed("label", "comp")
+    again = again.join(comp, "id", "left").select("id", "wide", F.coalesce("comp", "id").alias("comp"))
+    rest = _candidates(again).join(first.select("src", "dst"), ["src", "dst"], "left_anti")
+    more = judged(staged(rest, "near-pairs"), "near-judged")
+    return links.unionByName(more.filter("alike").select("src", "dst"))
 
 
 def _links(frames: Iterator[pd.DataFrame], solve=_solve_words) -> Iterator[pd.DataFrame]:
@@ -323,30 +383,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def wide_simhash(text: str | None, size: int = NEAR_SHINGLE) -> bytes:
-    """WORDS fingerprints of 64 bits, one after the other; zero without words."""
+    """WORDS fingerprints of 64 bits, one after the other, and a hash of the set of shingles;
+    zero without words."""
     shingles = shingles_of(text or "", size)
     if not shingles:
-        return bytes(8 * WORDS)
+        return bytes(8 * (WORDS + 1))
     ones = np.zeros(64 * WORDS, dtype=np.int64)
+    hashes = []
     mix = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(shingles), 1 << 14):
         part = shingles[at : at + (1 << 14)]
         h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), dtype=np.uint64, count=len(part))
+        hashes.append(h)
         x = h[:, None] ^ mix[None, :]
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
         ones += np.unpackbits(x.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits((2 * ones > len(shingles)).astype(np.uint8), bitorder="little").tobytes()
+    same = xxhash.xxh64_intdigest(np.unique(np.concatenate(hashes)).tobytes(), SEED)
+    return np.packbits((2 * ones > len(shingles)).astype(np.uint8), bitorder="little").tobytes() + same.to_bytes(8, "little")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id
     (nulls last), ties by a hash of the row; of rows alike in all columns one stays.
 
-    Null, empty and white-space texts are copies of each other. An empty table gives
-    an empty result. The texts themselves are shuffled only if more rows go than may be
-    broadcast.
+    Near copies are texts whose five-word shingles have likeness LIKE, and all that such
+    links reach; candidates come from fingerprints, each link is checked on the texts. Null,
+    empty and white-space texts are copies of each other. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
 
@@ -357,16 +421,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    slim = staged(docs.select(F.col(doc_id).alias("id"), row.alias("row"), wide(text_of(text)).alias("wide")), "near-wide")
-    # Copies meet first: one entry for each fingerprint, numbered by a hash of it.
+    slim = staged(docs.select(F.col(doc_id).alias("id"), row.alias("row"), wide(text_of(text)).alias("wide"), text_of(text).alias("text")), "near-wide")
+    # Copies meet first: one entry for each set of shingles, numbered by a hash.
     entry = F.xxhash64("wide").alias("id")
-    distinct = slim.select("wide").distinct().select(entry, "wide")
-    bands = F.explode(F.sequence(F.lit(0), F.lit(WORDS * QUARTERS - 1)))
-    rows = distinct.select("id", "wide", bands.alias("q"))
-    # Two bytes of the little-endian word, from its top for quarter 0.
-    at = F.floor(F.col("q") / QUARTERS) * 8 + 7 - 2 * (F.col("q") % QUARTERS)
-    top = F.conv(F.hex(F.concat(F.substr("wide", (at + 1).cast("int"), F.lit(1)), F.substr("wide", at.cast("int"), F.lit(1)))), 16, 10).cast("int")
-    links = _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long")
+    distinct = staged(slim.select("wide").distinct().select(entry, "wide"), "near-entries")
+    texts = slim.select(entry, "text").dropDuplicates(["id"])
+    links = _alike_links(distinct, texts)
     label = connected(links)
     rows = slim.select(entry.alias("entry"), F.col("id"), "row").join(label.select(F.col("id").alias("entry"), "label"), "entry", "left")
     rows = staged(rows.select(F.coalesce("label", "entry").alias("label"), "id", "row"), "near-rows")

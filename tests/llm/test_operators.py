@@ -467,6 +467,23 @@ def test_components_of_chains_stars_and_rings(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), **dict.fromkeys(range(200, 207), 200)}
 
 
+def test_near_copies_are_judged_by_exact_likeness(spark):
+    rng = random.Random(31)
+    rows, pairs = [], {}
+    for i in range(240):
+        text = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(text)
+        for at in rng.sample(range(300), 4 + i % 14):
+            copy[at] = "edited"
+        pairs[i] = simhash.likeness(" ".join(text), " ".join(copy))
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = {i for i in pairs if 2 * i + 1 not in got}
+    near = {i for i, like in pairs.items() if like >= 0.8}
+    assert all(2 * i in got for i in pairs) and gone <= near
+    assert len({i for i in pairs if 0.7 <= pairs[i] < 0.8}) >= 20 and len(gone) >= 0.95 * len(near), (len(gone), len(near))
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(3000)]
