@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "documents", "let", "partitions", "shared_dir", "ship", "small", "staged", "text_of", "without", "word_count"]
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "documents", "forget", "let", "partitions", "shared_dir", "ship", "small", "staged", "text_of", "without", "word_count"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,19 +43,35 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where a session has none (as in
-    tests) is a temporary folder of this machine set for it."""
+    """The folder in spark.checkpoint.dir. Only a local session that has none (as in
+    tests) gets a temporary folder of this machine; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = sc._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Shuffle files of a finished query are of no use once its result is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession):
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back.
 
@@ -62,8 +79,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     all executors share. Every call writes a folder of its own.
     """
     path = f"{shared_dir(df.sparkSession)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _clean_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path  # what forget() removes
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
