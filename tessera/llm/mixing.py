@@ -29,6 +29,8 @@ SEED = "mix-1"
 #: Hash keys are below this.
 KEY_SPACE = 2**60
 
+RESULTS = ["size", "source_size", "target", "taken"]
+
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
     """Targets of sources: (source, n, source_size) -> plus sid, target, budget.
@@ -58,8 +60,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
     return t.select("sid", "source", "n", "source_size", "target", F.round("target").cast("long").alias("budget"))
 
 
-def mix_key(doc_id: Column, seed: str) -> Column:
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def mix_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Of id and text, so that rows without an id, or with the same, have keys of their own."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(text)))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -74,21 +77,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, se
 
     Null or empty texts have size 0 and are taken 0 words; a null source is a
     source, the last; a null doc_id counts as "". Repeated rows are rows of their
-    own; of rows alike in id and size it is open which one the cut meets. An empty
+    own; of rows alike in id and text it is open which one the cut meets. An empty
     table gives an empty result. Columns of docs named like a result column give way
     to it.
     """
-    k, size, sid, span = "__mix_key", "size", "__mix_sid", "__mix_range"
-    out = ["size", "source_size", "target", "taken"]
-    keyed = without(docs, out).withColumn(size, word_count(text_of(text))).withColumn(k, mix_key(F.col(doc_id), seed))
+    rows = _mixed(without(docs, RESULTS), weights, share, max_epochs, seed, whole, doc_id, text, source)
+    return rows.withColumnsRenamed({f"__mix_{c}": c for c in RESULTS})
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED, whole=False, doc_id="doc_id", text="text", source="source") -> DataFrame:
+    """docs plus the result columns, their names behind __mix_."""
+    k, size, sid, span = "__mix_key", "__mix_size", "__mix_sid", "__mix_range"
+    keyed = docs.withColumn(size, word_count(text_of(text))).withColumn(k, mix_key(F.col(doc_id), text_of(text), seed))
 
-    slim = staged(keyed.select(F.col(source).alias("source"), size, k), "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum(size).alias("source_size"))
+    slim = staged(keyed.select(F.col(source).alias("__mix_of"), size, k), "mix-sizes")
+    sizes = slim.groupBy(F.col("__mix_of").alias("source")).agg(F.count("*").alias("n"), F.sum(size).alias("source_size"))
     targets = staged(source_targets(sizes, weights, share, max_epochs), "mix-targets")
     targets = small(targets)
     # Equal ranges of the key space, as many as the source's rows ask for.
     t = targets.select(
-        F.col("source").alias("__mix_source"), F.col("sid").alias(sid), F.ceil(F.col("n") / ROWS_PER_RANGE).alias("__mix_n"), F.col("source_size"), F.col("target"),
+        F.col("source").alias("__mix_source"), F.col("sid").alias(sid), F.ceil(F.col("n") / ROWS_PER_RANGE).alias("__mix_n"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"),
         F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).alias("__mix_times"), F.col("budget").alias("__mix_budget"),
     )
 
@@ -96,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, se
         joined = rows.join(t, F.col(name).eqNullSafe(F.col("__mix_source")))
         return joined.withColumn(span, F.floor(F.col(k) / F.lit(float(KEY_SPACE)) * F.col("__mix_n")).cast("long"))
 
-    sums = ranged(slim, "source").groupBy(sid, span).agg(F.sum(size).alias("__mix_sum"))
+    sums = ranged(slim, "__mix_of").groupBy(sid, span).agg(F.sum(size).alias("__mix_sum"))
     sums = sums.withColumn("__mix_group", F.floor(F.col(span) / RANGES_PER_GROUP))
     groups = sums.groupBy(sid, "__mix_group").agg(F.sum("__mix_sum").alias("__mix_gsum"))
     up_to = (Window.unboundedPreceding, -1)
@@ -109,19 +117,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, se
     rows = ranged(keyed, source).join(small(starts), [sid, span])
     order = Window.partitionBy(sid, span).orderBy(k, F.col(doc_id), size)
     before = F.coalesce(F.sum(size).over(order.rowsBetween(*up_to)), F.lit(0)) + F.col("__mix_start")
-    rest = F.col("__mix_budget") - F.col("__mix_times") * F.col("source_size")
+    rest = F.col("__mix_budget") - F.col("__mix_times") * F.col("__mix_source_size")
     part = F.least(F.greatest(rest - before, F.lit(0)), F.col(size))
     if whole:
         part = F.when((rest - before) * 2 >= F.col(size), F.col(size)).otherwise(F.lit(0))
     taken = (F.col("__mix_times") * F.col(size) + part).cast("long")
-    kept = [c for c in keyed.columns if c not in (k, size)]
-    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(size), F.col("source_size").cast("long"), F.col("target").cast("double"), taken.alias("taken"))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*kept, F.col(size), F.col("__mix_source_size").cast("long"), F.col("__mix_target").cast("double"), taken.alias("__mix_taken"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (whole rows only)."""
-    rows = mix(docs, whole=True, **how)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    """The rows of docs with all their columns, each as often as the mix takes it (whole
+    rows only). Nulls, ties and repeated rows count as in `mix`; no column gives way."""
+    rows = _mixed(docs, whole=True, **how)
+    times = F.when(F.col("__mix_size") > 0, F.floor(F.col("__mix_taken") / F.col("__mix_size"))).otherwise(0).cast("int")
     rows = rows.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times)))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -134,7 +143,7 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as k
+         cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as k
   from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 r as (select *, row_number() over (order by encode(source) nulls last) - 1 as sid from s),
