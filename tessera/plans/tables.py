@@ -43,6 +43,10 @@ PARSED = (
 )
 
 
+#: Trees of the depth of Python's stack; no server makes one.
+TOO_DEEP = "nested too deeply"
+
+
 def read_any(text: str) -> Plan:
     """A plan from text or JSON output, told apart by the first character."""
     return jsonplan.parse_json(text) if text.lstrip()[:1] in ("[", "{") else parse(text)
@@ -54,11 +58,15 @@ def _row(text: str | None) -> dict:
         return blank | {"error": "no text"}
     try:
         plan = read_any(text)
+        decisions = _advice.derive(plan)
     except PlanError as e:
         return blank | {"error": str(e)}
+    except RecursionError:
+        return blank | {"error": TOO_DEEP}
     nodes, props = [], []
-
-    def add(node, parent: int | None, depth: int, child: int) -> None:
+    todo = [(plan.root, None, 0, 0)] if plan.root is not None else []
+    while todo:
+        node, parent, depth, child = todo.pop()
         i = len(nodes)
         nodes.append({
             "node_id": i, "parent_id": parent, "depth": depth, "child_no": child, "type": node.type, "prefixes": node.prefixes, "label": node.title,
@@ -69,12 +77,8 @@ def _row(text: str | None) -> dict:
         for k, line in enumerate(node.props):
             p = parse_prop(line)
             props.append({"node_id": i, "prop_no": k, "raw": p.raw, "label": p.label, "value": p.value, "kind": p.kind, "fields": p.fields})
-        for k, c in enumerate(node.children):
-            add(c, i, depth + 1, k)
-
-    if plan.root is not None:
-        add(plan.root, None, 0, 0)
-    found = [("derived", a) for a in _advice.derive(plan)] + [("canonical", _advice.canonical(a)) for a in _advice.derive(plan)]
+        todo += reversed([(c, i, depth + 1, k) for k, c in enumerate(node.children)])
+    found = [("derived", a) for a in decisions] + [("canonical", _advice.canonical(a)) for a in decisions]
     found += [("generated", a) for a in plan.generated] + [("supplied", a) for a in plan.supplied]
     rows = [{"ord": i, "kind": a.kind, "args": a.args, "line": str(a), "origin": o, "annotation": a.annotation or None} for i, (o, a) in enumerate(found)]
     return {"error": None, "empty": plan.empty, "planning_ms": plan.planning_ms, "execution_ms": plan.execution_ms, "extra": plan.extra, "nodes": nodes, "props": props, "advice": rows}
@@ -138,7 +142,9 @@ def _safely(f, *texts):
     try:
         return f(*texts)
     except PlanError as e:
-        return None if texts[0] is None else f"error: {e}"
+        return f"error: {e}"
+    except RecursionError:
+        return f"error: {TOO_DEEP}"
 
 
 def functions(spark: SparkSession) -> dict[str, object]:
