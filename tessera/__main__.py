@@ -1,11 +1,13 @@
 """Command line over single files: python -m tessera COMMAND ...
 
-format [-l | -d] [FILE | FOLDER ...]   laid-out text; -l lists files that layout changes, -d shows diffs
+format [-l] [-d] [-w] [FILE | FOLDER ...]   laid-out text; -l lists files that layout changes, -d shows
+                                       diffs, -w writes changed files
 advice [-canonical] [FILE]             decisions of a plan
 diff [-canonical] FILE FILE            unified diff of two plans' decisions: exit 0 same, 1 different
 canonical [FILE]                       canonical decisions of a plan or of advice text
 json [FILE]                            a plan as JSON
 narrow WIDTH [FILE]                    plan text reflowed to a width
+-V                                     version
 
 Standard input stands in for files. Exit 2 on errors. Over many files use tessera.sources
 and tessera.plans.tables, which run on a cluster.
@@ -17,6 +19,7 @@ import difflib
 import sys
 from pathlib import Path
 
+from . import __version__
 from .functions.layout import format_sql
 from .functions.lexer import LexError
 from .plans import advice, jsonplan, tree
@@ -44,8 +47,11 @@ def _plan(text: str) -> tree.Plan:
 
 
 def _format(args: list[str]) -> int:
-    names = [a for a in args if a not in ("-l", "-d")]
+    names = [a for a in args if a not in ("-l", "-d", "-w")]
     if not names:
+        if "-w" in args:
+            print("-w needs files", file=sys.stderr)
+            return 2
         sys.stdout.write(format_sql(sys.stdin.read()))
         return 0
     status = 0
@@ -57,12 +63,13 @@ def _format(args: list[str]) -> int:
             print(f"{path}: {e}", file=sys.stderr)
             status = 2
             continue
-        if "-l" in args:
-            if out != text:
-                print(path)
-        elif "-d" in args:
+        if "-l" in args and out != text:
+            print(path)
+        if "-d" in args:
             sys.stdout.writelines(difflib.unified_diff(text.splitlines(True), out.splitlines(True), str(path), f"{path} (laid out)", n=3))
-        else:
+        if "-w" in args and out != text:
+            path.write_text(out)
+        if not {"-l", "-d", "-w"} & set(args):
             sys.stdout.write(out)
     return status
 
@@ -72,6 +79,9 @@ def main(args: list[str]) -> int:
     canonically = "-canonical" in rest
     rest = [a for a in rest if a != "-canonical"]
     try:
+        if command in ("-V", "version"):
+            print(f"tessera {__version__}")
+            return 0
         if command == "format":
             return _format(rest)
         if command == "advice":

@@ -22,6 +22,15 @@ def test_format(tmp_path):
     assert run("format", tmp_path)[0] == 2 and run("nothing")[0] == 2
 
 
+def test_format_in_place(tmp_path):
+    (tmp_path / "a.sql").write_text("SELECT 1;\n")
+    (tmp_path / "b.sql").write_text("select 2;\n")
+    assert run("format", "-w", "-l", tmp_path)[:2] == (0, f"{tmp_path / 'a.sql'}\n")
+    assert (tmp_path / "a.sql").read_text() == "select 1;\n" and run("format", "-l", tmp_path)[1] == ""
+    assert run("format", "-w", stdin="SELECT 1;")[0] == 2
+    assert run("-V")[1].startswith("tessera ")
+
+
 def test_plans(tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     a.write_text(" Seq Scan on t\n")
