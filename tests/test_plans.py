@@ -114,7 +114,7 @@ def test_advice_blocks():
     [
         ("Sort Method: quicksort  Memory: 25kB", {"Sort Method": "quicksort", "Sort Space Type": "Memory", "Sort Space Used": "25"}),
         ("Buckets: 1024 (originally 2048)  Batches: 1  Memory Usage: 44kB", {"Hash Buckets": "1024", "Original Hash Buckets": "2048", "Hash Batches": "1", "Peak Memory Usage": "44"}),
-        ("Batches: 5  Memory Usage: 105kB  Disk Usage: 32kB", {"HashAgg Batches": "5", "Peak Memory Usage": "105", "Disk Usage": "32"}),
+        ("Batches: 3  Memory Usage: 77kB  Disk Usage: 18kB", {"HashAgg Batches": "3", "Peak Memory Usage": "77", "Disk Usage": "18"}),
         ("Heap Blocks: exact=12 lossy=3", {"Exact Heap Blocks": "12", "Lossy Heap Blocks": "3"}),
         ("I/O Timings: shared read=1.5, temp write=0.2", {"Shared I/O Read Time": "1.5", "Temp I/O Write Time": "0.2"}),
         ("WAL: records=3 fpi=1 bytes=99", {"WAL Records": "3", "WAL FPI": "1", "WAL Bytes": "99"}),
@@ -122,7 +122,7 @@ def test_advice_blocks():
         ("Prefetch: avg=2.00 max=8 capacity=16", {"Average Prefetch Distance": "2.00", "Max Prefetch Distance": "8", "Prefetch Capacity": "16"}),
         ("Storage: Memory  Maximum Storage: 32kB", {"Storage": "Memory", "Maximum Storage": "32"}),
         ("Memory: used=120kB  allocated=256kB", {"Memory Used": "120", "Memory Allocated": "256"}),
-        ("Full-sort Groups: 2  Sort Method: quicksort  Average Memory: 26kB  Peak Memory: 27kB", {"Full-sort Group Count": "2", "Full-sort Sort Methods Used": "quicksort", "Full-sort Average Sort Space Used": "26", "Full-sort Peak Sort Space Used": "27", "Full-sort Sort Space Type": "Memory"}),
+        ("Full-sort Groups: 6  Sort Method: quicksort  Average Memory: 41kB  Peak Memory: 43kB", {"Full-sort Group Count": "6", "Full-sort Sort Methods Used": "quicksort", "Full-sort Average Sort Space Used": "41", "Full-sort Peak Sort Space Used": "43", "Full-sort Sort Space Type": "Memory"}),
         ("Filter: (a = 'b: c'::text)", {"Filter": "(a = 'b: c'::text)"}),
         ("My Extension: yes", {"My Extension": "yes"}),
     ],
@@ -174,22 +174,43 @@ def test_canonical(line, want):
 
 
 def test_unified_diff_text():
-    a = tree.parse(" Seq Scan on d  (cost=0.00..3.00 rows=1 width=5)\n Planning Time: 0.301 ms\n Execution Time: 18.245 ms\n")
-    b = tree.parse(" Index Scan using k on d  (cost=0.00..3.00 rows=1 width=5)\n Planning Time: 0.306 ms\n Execution Time: 0.049 ms\n")
+    a = tree.parse(" Seq Scan on w  (cost=0.00..7.00 rows=2 width=9)\n Planning Time: 0.500 ms\n Execution Time: 8.000 ms\n")
+    b = tree.parse(" Index Scan using w_k on w  (cost=0.00..7.00 rows=2 width=9)\n Planning Time: 0.750 ms\n Execution Time: 2.000 ms\n")
     assert diff.unified(a, b, "x", "y") == (
-        "--- x\n+++ y\n@@ plan structure @@\n-SEQ_SCAN(d)\n+INDEX_SCAN(d k)\n\n"
-        " execution time     18.245 ms ->     0.049 ms   (-99.7%)\n planning time       0.301 ms ->     0.306 ms   (+1.7%)\n"
+        "--- x\n+++ y\n@@ plan structure @@\n-SEQ_SCAN(w)\n+INDEX_SCAN(w w_k)\n\n"
+        " execution time      8.000 ms ->     2.000 ms   (-75.0%)\n planning time       0.500 ms ->     0.750 ms   (+50.0%)\n"
     )
     assert "structure unchanged" in diff.unified(a, a)
 
 
 def test_reflow_breaks_groups_and_commas():
-    text = "   ->  Seq Scan on t  (cost=0.00..30.40 rows=1 width=15) (actual time=0.010..18.245 rows=1 loops=1)\n         Output: aaaaaaaaaaaa, bbbbbbbbbbbbbbb, cccccccccccccccccc"
+    text = "   ->  Seq Scan on w  (cost=0.00..72.25 rows=4 width=31) (actual time=0.250..61.500 rows=4 loops=1)\n         Output: aaaaaaaaaaaa, bbbbbbbbbbbbbbb, cccccccccccccccccc"
     out = reflow.reflow(text, 50).split("\n")
-    assert out[0] == "   ->  Seq Scan on t" and out[1] == "       (cost=0.00..30.40 rows=1 width=15)"
+    assert out[0] == "   ->  Seq Scan on w" and out[1] == "       (cost=0.00..72.25 rows=4 width=31)"
     assert max(map(len, out)) <= 52 and "".join(out).replace(" ", "") == text.replace("\n", "").replace(" ", "")
 
 
+DEEP_TEXT = "".join(f"{'  ' * i}{'->  ' if i else ''}Append\n" for i in range(1500))
+DEEP_JSON = '[{"Plan": ' + '{"Node Type": "Append", "Plans": [' * 2000 + "]}" * 2000 + "}]"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " Seq Scan on t  (cost=1.0.0..2 rows=1 width=1)", " Seq Scan on t  (cost=1.0..2.0 rows=1.2.3 width=1) (actual rows=1.2.3 loops=1)", " Seq Scan on t\n Planning Time: 1.2.3 ms",
+        " Seq Scan on t  (cost=1.0..2.0 rows=99999999999999999999 width=1)", " Seq Scan on t  (cost=1.0..2.0 rows=²² width=1)", DEEP_TEXT, DEEP_JSON,
+        *('[{"Plan": {"Node Type": "Seq Scan", %s}}]' % x for x in ('"Node Type": 5', '"Strategy": []', '"Plans": 7', '"Plan Rows": 1e400', '"Plan Rows": NaN', '"Plan Rows": 1e25', '"Sort Method": 3', '"Join Type": {}', '"Alias": 4', '"Full-sort Groups": {"Group Count": []}')),
+        '[{"Plan": {"Node Type": "Aggregate", "Strategy": ["x"]}}]', '[{"Plan": {"Node Type": "SetOp", "Command": 4}}]', '{"Plan": [1]}', "[[[[", "{",
+    ],
+)
+def test_malformed_captures_never_raise(text):
+    row = tables._row(text)
+    assert row["error"] is not None or row["nodes"]
+    assert all(n["rows_est"] is None or abs(n["rows_est"]) < 1 << 63 for n in row["nodes"])
+    for f in (lambda t: jsonplan.to_json(tables.read_any(t)), lambda t: diff.unified(tables.read_any(t), tables.read_any(t))):
+        assert isinstance(tables._safely(f, text), str)
+
+
 def test_tables_survive_bad_captures(spark):
     rows = tables.parse_plans(spark.createDataFrame([(1, None), (2, ""), (3, "[oops"), (4, " Seq Scan on t")], "plan_id bigint, text string"))
     assert {r.plan_id: r.error is None for r in tables.plans(rows).collect()} == {1: False, 2: False, 3: False, 4: True}
