@@ -155,6 +155,29 @@ def piece_starts(codes: np.ndarray, first: np.ndarray, classes: np.ndarray) -> n
     return out | first
 
 
+#: Settings of a vocabulary file that these machines follow; where a file differs, counts would be wrong.
+FOLLOWED = {
+    "normalizer": (None,), "truncation": (None,), "padding": (None,),
+    "pre_tokenizer": {"type": ("ByteLevel",), "add_prefix_space": (False,), "use_regex": (True,)},
+    "model": {
+        "type": ("BPE",), "dropout": (None, 0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""),
+        "byte_fallback": (None, False), "ignore_merges": (None, False),
+    },
+}
+
+
+def checked(found: dict, followed: dict = FOLLOWED, name: str = "") -> None:
+    """Raises ValueError where a vocabulary asks for a splitter, normalizer or merge rule that isn't followed."""
+    for key, allowed in followed.items():
+        value = found.get(key) if isinstance(found, dict) else None
+        if isinstance(allowed, dict):
+            checked(value, allowed, f"{name}{key}.")
+        elif value not in allowed:
+            raise ValueError(f"{name}{key} is {value!r}: not a vocabulary of plain byte-level pairs")
+    if not name and any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in found.get("added_tokens") or []):
+        raise ValueError("added tokens that take spaces along, or match words only, aren't followed")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in vocabularies of this kind."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -169,6 +192,7 @@ class Counter:
 
     def __init__(self, spec: bytes):
         found = json.loads(spec)
+        checked(found)
         letters = byte_letters()
         to_bytes = lambda t: bytes(letters[c] for c in t)
         self.special = [t["content"] for t in found["added_tokens"]]
