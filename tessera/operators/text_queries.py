@@ -1,5 +1,5 @@
-"""Queries of the text operators: token statistics over the test tables, plan analysis
-and layout over captures and scripts that stand here as literals."""
+"""Queries of the text operators: token statistics over the test tables; what generated.py
+writes from the rows of a table is analysed and laid out by the queries there."""
 
 from __future__ import annotations
 
@@ -7,69 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexer, sql
-from tessera.plans import tables
 
-#: Captures in the server's text format: before and after an index, a parallel join, an
-#: analysed plan with properties, no rows, COSTS OFF with set operations, a text without plan.
-CAPTURES = [
-    (1, """ Seq Scan on cars  (cost=0.00..30.40 rows=1 width=15) (actual time=0.010..18.245 rows=1 loops=1)
-   Filter: (plate = 'x'::text)
-   Rows Removed by Filter: 99
- Planning Time: 0.301 ms
- Execution Time: 18.245 ms"""),
-    (2, """ Index Scan using cars_plate on cars  (cost=0.28..8.30 rows=1 width=15) (actual time=0.020..0.049 rows=1 loops=1)
-   Index Cond: (plate = 'x'::text)
- Planning Time: 0.306 ms
- Execution Time: 0.049 ms"""),
-    (3, """                         QUERY PLAN
--------------------------------------------------------------
- Gather
-   Workers Planned: 2
-   ->  Parallel Hash Left Join
-         Hash Cond: (t.car_id = c.id)
-         ->  Parallel Seq Scan on trips t
-         ->  Parallel Hash
-               ->  Parallel Seq Scan on cars c
-(7 rows)"""),
-    (4, """ Nested Loop  (cost=0.28..100.30 rows=10 width=15) (actual time=0.020..0.049 rows=1.50 loops=2)
-   Buffers: shared hit=3 read=1, temp written=2
-   ->  Seq Scan on trips  (cost=0.00..30.40 rows=1 width=15) (never executed)
-   ->  Memoize  (cost=0.00..30.40 rows=1 width=15)
-         Hits: 5  Misses: 2  Evictions: 0  Overflows: 0  Memory Usage: 1kB
-         ->  Index Scan using trips_pkey on trips  (cost=0.28..8.30 rows=1 width=15)
-               Index Cond: (id = trips.prev)
- Planning:
-   Buffers: shared hit=9
- Planning Time: 0.306 ms
- Execution Time: 0.049 ms"""),
-    (5, "       QUERY PLAN\n------------------------\n(0 rows)\n"),
-    (6, """ HashSetOp Except All
-   ->  Append
-         ->  Subquery Scan on "*SELECT* 1"
-               ->  Seq Scan on a
-         ->  Subquery Scan on "*SELECT* 2"
-               ->  Seq Scan on b"""),
-    (7, '[{"Plan": {"Node Type": "Aggregate", "Strategy": "Hashed", "Group Key": ["kind"], "Plans": [{"Node Type": "Seq Scan", "Relation Name": "cars", "Alias": "c", "Plan Rows": 9}]}}]'),
-    (8, ""),
-]
-
-PAIRS = [(1, 1, 2), (2, 1, 1), (3, 3, 4)]
-
-SCRIPTS = [
-    (1, "SELECT a, count(*) FILTER (WHERE b > 1) AS n FROM t LEFT JOIN u USING(id) WHERE x BETWEEN 1 AND 2 GROUP BY a ORDER BY n DESC LIMIT 5;"),
-    (2, "create table t (id serial primary key, name text not null, unique (name)); insert into t(name) values ('a'), ('b');"),
-    (3, "with x as (select 1 as a) select * from x -- tail\n"),
-    (4, "select 'open"),
-    (5, None),
-]
-
-
-def _literal(spark: SparkSession, rows, columns: str) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
-
-
-def captures(spark: SparkSession) -> DataFrame:
-    return tables.parse_plans(_literal(spark, CAPTURES, "plan_id bigint, text string"))
+from . import generated
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,82 +33,18 @@ def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.size(F.filter(F.split("html", "\n", -1), lambda x: x.rlike("--"))).cast("bigint").alias("n"))
 
 
-def statements_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _literal(spark, SCRIPTS[:2], "path bigint, text string")
-    rows = sql.native_token_rows(files)
-    return rows.groupBy("path", "stmt_no").agg(F.count("*").alias("n_tokens"), F.max("depth").cast("bigint").alias("depth"))
-
-
-def format_sql_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql.format_corpus(_literal(spark, SCRIPTS, "path bigint, text string")).select("path", "output", "error", F.col("changed").cast("string").alias("changed"))
-
-
 def format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout never rejects text that isn't SQL; only what can't be lexed has an error."""
+    """Layout of any text changes white space and case only; what can't be lexed has an error and no output."""
     rows = sql.format_corpus(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return rows.select("conv_id", "turn", F.length("output").alias("n"), "error")
-
-
-def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql.sql_tokens(_literal(spark, SCRIPTS, "path bigint, text string")).select("path", "stmt_no", "ord", "kind", "text", "line", "col")
-
-
-def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql.statement_rows(_literal(spark, SCRIPTS, "path bigint, text string"))
-
-
-def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plans(captures(spark)).withColumn("error", F.col("error").isNotNull())
-
 
-def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.plan_nodes(captures(spark))
-    return rows.select("plan_id", "node_id", "parent_id", "depth", "type", F.array_join("prefixes", " ").alias("prefixes"), "label", "relation", "alias", "index_name", "rows_actual", "never_executed")
+    def squeezed(c: str):
+        return F.lower(F.regexp_replace(c, r"\s", ""))
 
+    kept = F.when(F.col("error").isNull(), squeezed("output") == squeezed("text")).otherwise(F.col("output").isNull() & F.col("error").startswith("unterminated"))
+    return rows.select("conv_id", "turn", kept.alias("kept"))
 
-def plan_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.plan_props(captures(spark))
-    entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return rows.select("plan_id", "node_id", "prop_no", "label", "kind", F.array_join(entries, "; ").alias("fields"))
 
-
-def plan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_advice(captures(spark)).select("plan_id", "ord", "kind", "line")
-
-
-def plan_advice_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_advice(captures(spark), origin="canonical").select("plan_id", "kind", "line")
-
-
-def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_diff(captures(spark), _literal(spark, PAIRS, "pair_id bigint, before_id bigint, after_id bigint")).select("pair_id", "kind", "before", "after")
-
-
-def plan_same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.same_structure(captures(spark), _literal(spark, PAIRS, "pair_id bigint, before_id bigint, after_id bigint"))
-
-
-def plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tables.functions(spark)
-    rows = _literal(spark, CAPTURES, "plan_id bigint, text string")
-    return rows.select("plan_id", f["plan_json"]("text").alias("json"), f["reflow"](60)("text").alias("narrow"))
-
-
-def plan_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = tables.functions(spark)
-    texts = _literal(spark, CAPTURES, "plan_id bigint, text string")
-    pairs = _literal(spark, PAIRS, "pair_id bigint, before_id bigint, after_id bigint")
-    before, after = texts.toDF("before_id", "before"), texts.toDF("after_id", "after")
-    return pairs.join(before, "before_id").join(after, "after_id").select("pair_id", f["plan_unified_diff"]("before", "after").alias("diff"))
-
-
-QUERIES = {
-    f.__name__: f
-    for f in (
-        token_counts, keyword_freq, token_kinds, comment_lines, statements_native, format_sql_corpus, format_conversations, sql_tokens, statement_kinds,
-        plans, plan_nodes, plan_props, plan_advice, plan_advice_canonical, plan_diff, plan_same_structure, plan_json, plan_unified_diff,
-    )
-}
+QUERIES = {f.__name__: f for f in (token_counts, keyword_freq, token_kinds, comment_lines, format_conversations)} | generated.QUERIES
 
 _RX = lexer.NATIVE_TOKEN.replace("'", "''")
 _WORDS = ", ".join(f"'{w}'" for w in sorted(lexer.KEYWORDS))
@@ -180,107 +55,10 @@ ORACLES = {
     "token_counts": f"select doc_id, cast(len(regexp_extract_all(text, '{_RX}')) as bigint) as n_tokens from documents",
     "keyword_freq": f"select lower(t) as keyword, count(*) as n from (select unnest(regexp_extract_all(text, '{_RX}')) as t from documents) where lower(t) in ({_WORDS}) group by 1",
     "token_kinds": f"select role, {_KIND} as kind, count(*) as n, count(distinct t) as distinct_tokens from (select role, unnest(regexp_extract_all(text, '{_RX}')) as t from conversations) group by 1, 2",
+    "format_conversations": "select conv_id, turn, true as kept from conversations",
     "comment_lines": "select page_id, cast(len(list_filter(string_split(html, chr(10)), lambda x: contains(x, '--'))) as bigint) as n from pages",
-    "statements_native": "select * from (values (1, 0, 41, 1), (2, 0, 20, 2), (2, 1, 15, 1)) t(path, stmt_no, n_tokens, depth)",
-    "plans": """select plan_id, empty, cast(planning_ms as double) as planning_ms, cast(execution_ms as double) as execution_ms, error from (values
-        (1, false, 0.301, 18.245, false), (2, false, 0.306, 0.049, false), (3, false, null, null, false), (4, false, 0.306, 0.049, false),
-        (5, true, null, null, false), (6, false, null, null, false), (7, false, null, null, false), (8, false, null, null, true)) t(plan_id, empty, planning_ms, execution_ms, error)""",
-    "plan_nodes": """select plan_id, node_id, parent_id, depth, type, prefixes, label, relation, alias, index_name, cast(rows_actual as double) as rows_actual, never_executed from (values
-        (1, 0, null, 0, 'seq-scan', '', 'Seq Scan', 'cars', null, null, 1.0, false),
-        (2, 0, null, 0, 'index-scan', '', 'Index Scan', 'cars', null, 'cars_plate', 1.0, false),
-        (3, 0, null, 0, 'gather', '', 'Gather', null, null, null, null, false),
-        (3, 1, 0, 1, 'hash-join', 'Parallel', 'Hash Left Join', null, null, null, null, false),
-        (3, 2, 1, 2, 'seq-scan', 'Parallel', 'Seq Scan', 'trips', 't', null, null, false),
-        (3, 3, 1, 2, 'hash', 'Parallel', 'Hash', null, null, null, null, false),
-        (3, 4, 3, 3, 'seq-scan', 'Parallel', 'Seq Scan', 'cars', 'c', null, null, false),
-        (4, 0, null, 0, 'nested-loop', '', 'Nested Loop', null, null, null, 1.5, false),
-        (4, 1, 0, 1, 'seq-scan', '', 'Seq Scan', 'trips', null, null, null, true),
-        (4, 2, 0, 1, 'memoize', '', 'Memoize', null, null, null, null, false),
-        (4, 3, 2, 2, 'index-scan', '', 'Index Scan', 'trips', null, 'trips_pkey', null, false),
-        (6, 0, null, 0, 'set-op', '', 'HashSetOp Except All', null, null, null, null, false),
-        (6, 1, 0, 1, 'append', '', 'Append', null, null, null, null, false),
-        (6, 2, 1, 2, 'subquery-scan', '', 'Subquery Scan', '"*SELECT* 1"', null, null, null, false),
-        (6, 3, 2, 3, 'seq-scan', '', 'Seq Scan', 'a', null, null, null, false),
-        (6, 4, 1, 2, 'subquery-scan', '', 'Subquery Scan', '"*SELECT* 2"', null, null, null, false),
-        (6, 5, 4, 3, 'seq-scan', '', 'Seq Scan', 'b', null, null, null, false),
-        (7, 0, null, 0, 'hash-aggregate', '', 'Hash Aggregate', null, null, null, null, false),
-        (7, 1, 0, 1, 'seq-scan', '', 'Seq Scan', 'cars', 'c', null, null, false))
-        t(plan_id, node_id, parent_id, depth, type, prefixes, label, relation, alias, index_name, rows_actual, never_executed)""",
-    "plan_advice": """select * from (values
-        (1, 0, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (1, 1, 'SEQ_SCAN', 'SEQ_SCAN(cars)'), (1, 2, 'NO_GATHER', 'NO_GATHER(cars)'),
-        (2, 0, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (2, 1, 'INDEX_SCAN', 'INDEX_SCAN(cars cars_plate)'), (2, 2, 'NO_GATHER', 'NO_GATHER(cars)'),
-        (3, 0, 'JOIN_ORDER', 'JOIN_ORDER(t c)'), (3, 1, 'HASH_JOIN', 'HASH_JOIN(c)'), (3, 2, 'SEQ_SCAN', 'SEQ_SCAN(t c)'), (3, 3, 'GATHER', 'GATHER((t c))'),
-        (4, 0, 'JOIN_ORDER', 'JOIN_ORDER(trips trips#2)'), (4, 1, 'NESTED_LOOP_MEMOIZE', 'NESTED_LOOP_MEMOIZE(trips#2)'), (4, 2, 'SEQ_SCAN', 'SEQ_SCAN(trips)'),
-        (4, 3, 'INDEX_SCAN', 'INDEX_SCAN(trips#2 trips_pkey)'), (4, 4, 'NO_GATHER', 'NO_GATHER(trips trips#2)'),
-        (6, 0, 'JOIN_ORDER', 'JOIN_ORDER("*SELECT* 1" a "*SELECT* 2" b)'), (6, 1, 'SEQ_SCAN', 'SEQ_SCAN(a b)'), (6, 2, 'NO_GATHER', 'NO_GATHER("*SELECT* 1" a "*SELECT* 2" b)'),
-        (7, 0, 'JOIN_ORDER', 'JOIN_ORDER(c)'), (7, 1, 'SEQ_SCAN', 'SEQ_SCAN(c)'), (7, 2, 'NO_GATHER', 'NO_GATHER(c)')) t(plan_id, ord, kind, line)""",
-    "plan_advice_canonical": """select * from (values
-        (1, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (1, 'SEQ_SCAN', 'SEQ_SCAN(cars)'), (1, 'NO_GATHER', 'NO_GATHER(cars)'),
-        (2, 'JOIN_ORDER', 'JOIN_ORDER(cars)'), (2, 'INDEX_SCAN', 'INDEX_SCAN(cars cars_plate)'), (2, 'NO_GATHER', 'NO_GATHER(cars)'),
-        (3, 'JOIN_ORDER', 'JOIN_ORDER(t c)'), (3, 'HASH_JOIN', 'HASH_JOIN(c)'), (3, 'SEQ_SCAN', 'SEQ_SCAN(c t)'), (3, 'GATHER', 'GATHER((c t))'),
-        (4, 'JOIN_ORDER', 'JOIN_ORDER(trips trips#2)'), (4, 'NESTED_LOOP_MEMOIZE', 'NESTED_LOOP_MEMOIZE(trips#2)'), (4, 'SEQ_SCAN', 'SEQ_SCAN(trips)'),
-        (4, 'INDEX_SCAN', 'INDEX_SCAN(trips#2 trips_pkey)'), (4, 'NO_GATHER', 'NO_GATHER(trips trips#2)'),
-        (6, 'JOIN_ORDER', 'JOIN_ORDER("*SELECT* 1" a "*SELECT* 2" b)'), (6, 'SEQ_SCAN', 'SEQ_SCAN(a b)'), (6, 'NO_GATHER', 'NO_GATHER("*SELECT* 1" "*SELECT* 2" a b)'),
-        (7, 'JOIN_ORDER', 'JOIN_ORDER(c)'), (7, 'SEQ_SCAN', 'SEQ_SCAN(c)'), (7, 'NO_GATHER', 'NO_GATHER(c)')) t(plan_id, kind, line)""",
-    "format_sql_corpus": """select path, output || chr(10) as output, error, cast(changed as varchar) as changed from (values
-        (1, '     select a, count(*) filter(where b > 1) as n
-       from t
-  left join u using(id)
-      where x between 1 and 2
-   group by a
-   order by n desc
-      limit 5;', null, true),
-        (2, 'create table t
- (
-  id   serial primary key,
-  name text not null,
-
-  unique (name)
-);
-
-insert into t(name) values (''a''), (''b'');', null, true),
-        (3, 'with x as (
-  select 1 as a
-)
-select * from x  -- tail', null, true),
-        (4, null, 'unterminated string literal at line 1', null), (5, null, null, null)) t(path, output, error, changed)""",
-    "statement_kinds": "select * from (values (1, 0, 'query', 40, 0), (2, 0, 'create table', 19, 0), (2, 1, 'insert', 14, 0), (3, 0, 'query', 13, 1)) t(path, stmt_no, kind, n_tokens, n_comments)",
-    "plan_unified_diff": """select pair_id, '--- before
-+++ after
-@@ plan structure @@
-' || diff || chr(10) as diff from (values
-        (1, '-SEQ_SCAN(cars)
-+INDEX_SCAN(cars cars_plate)
-
- execution time     18.245 ms ->     0.049 ms   (-99.7%)
- planning time       0.301 ms ->     0.306 ms   (+1.7%)'),
-        (2, ' structure unchanged - the planner made the same decisions
-
- execution time     18.245 ms ->    18.245 ms   (+0.0%)
- planning time       0.301 ms ->     0.301 ms   (+0.0%)'),
-        (3, '-JOIN_ORDER(t c)
-+JOIN_ORDER(trips trips#2)
--HASH_JOIN(c)
--SEQ_SCAN(t c)
-+SEQ_SCAN(trips)
--GATHER((t c))
-+NESTED_LOOP_MEMOIZE(trips#2)
-+INDEX_SCAN(trips#2 trips_pkey)
-+NO_GATHER(trips trips#2)')) t(pair_id, diff)""",
-    "plan_diff": """select * from (values
-        (1, 'SEQ_SCAN', 'SEQ_SCAN(cars)', null), (1, 'INDEX_SCAN', null, 'INDEX_SCAN(cars cars_plate)'),
-        (3, 'JOIN_ORDER', 'JOIN_ORDER(t c)', 'JOIN_ORDER(trips trips#2)'), (3, 'HASH_JOIN', 'HASH_JOIN(c)', null), (3, 'SEQ_SCAN', 'SEQ_SCAN(t c)', 'SEQ_SCAN(trips)'),
-        (3, 'GATHER', 'GATHER((t c))', null), (3, 'NESTED_LOOP_MEMOIZE', null, 'NESTED_LOOP_MEMOIZE(trips#2)'), (3, 'INDEX_SCAN', null, 'INDEX_SCAN(trips#2 trips_pkey)'),
-        (3, 'NO_GATHER', null, 'NO_GATHER(trips trips#2)')) t(pair_id, kind, before, after)""",
-    "plan_same_structure": "select * from (values (1, false), (2, true), (3, false)) t(pair_id, same_structure)",
-    "plan_props": """select * from (values
-        (1, 0, 0, 'Filter', 'expression', 'Filter=(plate = ''x''::text)'), (1, 0, 1, 'Rows Removed by Filter', 'float', 'Rows Removed by Filter=99'),
-        (2, 0, 0, 'Index Cond', 'expression', 'Index Cond=(plate = ''x''::text)'), (3, 0, 0, 'Workers Planned', 'integer', 'Workers Planned=2'),
-        (3, 1, 0, 'Hash Cond', 'expression', 'Hash Cond=(t.car_id = c.id)'),
-        (4, 0, 0, 'Buffers', 'unknown', 'Shared Hit Blocks=3; Shared Read Blocks=1; Temp Written Blocks=2'),
-        (4, 2, 0, 'Hits', 'unknown', 'Cache Evictions=0; Cache Hits=5; Cache Misses=2; Cache Overflows=0; Peak Memory Usage=1'),
-        (4, 3, 0, 'Index Cond', 'expression', 'Index Cond=(id = trips.prev)'), (7, 0, 0, 'Group Key', 'list', 'Group Key=kind')) t(plan_id, node_id, prop_no, label, kind, fields)""",
 }
+ORACLES |= generated.ORACLES
 
 
 def queries() -> dict:
