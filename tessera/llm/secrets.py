@@ -4,7 +4,9 @@ Base rules find assignments, access keys and long hex runs. Beside them two
 first-order Markov models over characters, one of random strings and one of
 ordinary identifiers, score every long token: the log-likelihood ratio of its
 character pairs is summed, and a token whose ratio exceeds the prior odds is a
-secret too. Both models are counted by DataFrame aggregates from labelled samples.
+secret too. Both models are counted by DataFrame aggregates from labelled samples:
+strings drawn at random, and identifiers made of a fixed list of words and of the words
+of a bounded sample of the texts themselves.
 
 Places are code points, end exclusive. Spark has no function for the places of all
 matches; they follow from the lengths of the matches and of what split() leaves
@@ -13,6 +15,7 @@ between them.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +40,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 PRIOR_NATS = 10.0
 #: Labelled strings of either class, the bound of the training sample.
 SAMPLE_STRINGS = 20_000
+#: Texts, and of these the most frequent words, that ordinary identifiers are made of beside WORDS.
+SAMPLE_TEXTS = 1_000
+SAMPLE_WORDS = 2_000
 
 #: Words of which ordinary identifiers are made.
 WORDS = (
@@ -54,15 +60,25 @@ WORDS = (
 )
 
 
-def labelled(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
-    """(id, s, random): n random strings and n ordinary identifiers, the same in every run.
+def words_of_sample(docs: DataFrame, text: str = "text") -> list[str]:
+    """The SAMPLE_WORDS most frequent words of 3 to 12 letters (ties by name) of about SAMPLE_TEXTS texts."""
+    share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
+    words = F.explode(F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?<![\p{L}\p{N}])[a-z]{3,12}(?![\p{L}\p{N}])"), F.lit(0)))
+    counts = docs.sample(share, seed=10).select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.col("n").desc(), "w").limit(SAMPLE_WORDS).collect()]
+
+
+def labelled(spark: SparkSession, n: int = SAMPLE_STRINGS, more: list[str] | None = None) -> DataFrame:
+    """(id, s, random): n random strings and n ordinary identifiers of WORDS and, as often, of
+    the words `more`; the same in every run.
 
     Random: hex, base64 and upper case alphanumeric strings of 16 to 40 characters
     from SHA-256. Ordinary: two to four words joined by _, -, /, nothing, or as camel
     case, some of them with a short number behind.
     """
-    words = F.split(F.lit(WORDS), " ")
-    n_words = len(WORDS.split())
+    fixed, more = WORDS.split(), more or WORDS.split()
+    # Parts of an odd id are of the one list, those of an even id of the other.
+    lists = [F.from_json(F.lit(json.dumps(x, ensure_ascii=False)), "array<string>") for x in (fixed, more)]
     ids = spark.range(n)
     digest = F.sha2(F.concat(F.lit("secret-"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
@@ -71,8 +87,8 @@ def labelled(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
     random = ids.select("id", F.substring(form, F.lit(1), size.cast("int")).alias("s"), F.lit(True).alias("random"))
 
     def pick(k: int) -> Column:
-        at = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n_words)).cast("int")
-        return F.get(words, at)
+        first, second = (F.get(x, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(found))).cast("int")) for x, found in zip(lists, (fixed, more), strict=True))
+        return F.when(F.col("id") % 2 == 1, first).otherwise(second)
 
     parts = F.slice(F.array(*[pick(k) for k in range(4)]), F.lit(1), (2 + F.col("id") % 3).cast("int"))
     camel = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.initcap(x))), "")
@@ -118,21 +134,38 @@ def score(s: Column, table: list[float]) -> Column:
     return F.aggregate(pair_codes(s), F.lit(0.0), lambda acc, c: acc + F.get(ratios, c))
 
 
+#: Matches that are placed one after the other; the places of such runs are then joined, so
+#: that the work stays near the number of matches.
+PLACED = 256
+
+
 def spans(text: Column, kind: str, order: int, pattern: str, keep) -> Column:
     """Array of (s, k, e, kind, m) of the matches of pattern for which keep(m) holds."""
     shape = "array<struct<s:int,k:int,e:int,kind:string,m:string>>"
 
-    def placed(found: Column) -> Column:
+    def some(pairs: Column, at: Column) -> Column:
+        """The spans of a few pairs (match, gap before it) from a place on, and the place behind them."""
+
         def step(acc: Column, p: Column) -> Column:
             start = acc["at"] + p["gap"]
             end = start + F.length(p["m"])
             span = F.struct(start.alias("s"), F.lit(order).alias("k"), end.alias("e"), F.lit(kind).alias("kind"), p["m"].alias("m"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(shape).alias("out"))
 
+        return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(shape).alias("out")), step)
+
+    def placed(found: Column) -> Column:
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
         pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
-        return F.filter(F.aggregate(pairs, begin, step)["out"], lambda x: keep(x["m"]))
+
+        def run(pairs: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                return let(some(F.slice(pairs, i, F.lit(PLACED)), acc["at"]), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).cast(f"array<{shape}>").alias("out")))
+
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+            return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(pairs), F.lit(PLACED)), begin, step)["out"])
+
+        return F.filter(let(pairs, run), lambda x: keep(x["m"]))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(matches, lambda f: F.when(F.size(f) == 0, F.array().cast(shape)).otherwise(placed(f)))
@@ -165,7 +198,7 @@ def as_text(found: Column) -> Column:
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = scan(docs, train(labelled(spark)))
+    rows = scan(docs, train(labelled(spark, more=words_of_sample(docs))))
 
     def n(kind: str) -> Column:
         return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
