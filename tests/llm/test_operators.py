@@ -378,6 +378,19 @@ def test_token_counts_equal_the_library(docs):
     assert counter.count_texts(texts, classes) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("at, value", [(("normalizer",), {"type": "NFC"}), (("pre_tokenizer", "add_prefix_space"), True), (("pre_tokenizer",), {"type": "Whitespace"}), (("model", "type"), "WordPiece"), (("model", "ignore_merges"), True), (("pre_tokenizer",), None)])
+def test_vocabularies_that_ask_for_more_are_refused(at, value):
+    import json
+
+    spec = json.loads(open(VOCABULARY, "rb").read())
+    part = spec
+    for key in at[:-1]:
+        part = part[key]
+    part[at[-1]] = value
+    with pytest.raises(ValueError):
+        tokens.Counter(json.dumps(spec).encode())
+
+
 def test_scan_is_the_same_in_chunks():
     rng = random.Random(10)
     classes = tokens.Classes().table
@@ -484,6 +497,39 @@ def test_near_copies_are_judged_by_exact_likeness(spark):
     assert len({i for i in pairs if 0.7 <= pairs[i] < 0.8}) >= 20 and len(gone) >= 0.95 * len(near), (len(gone), len(near))
 
 
+def closure(texts, size=5, like=0.8):
+    """Smallest index of each text's component under links of all pairs."""
+    sets, up = [set(simhash.shingles_of(t, size)) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= like * len(sets[i] | sets[j]) and up[i] != up[j]:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if x == old else x for x in up]
+    return up
+
+
+@pytest.mark.parametrize("block_chars", [simhash.BLOCK_CHARS, 20_000])
+def test_groups_of_near_copies_equal_brute_force(spark, block_chars):
+    """Copies of a text that are like it, but not like one another, with and without it."""
+    rng = random.Random(77)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}x{rng.randrange(10**6)}" for _ in range(250)]
+        if g % 3:
+            texts.append(" ".join(base))
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.sample(range(250), (3, 5, 6, 3)[g // 3]):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    want = closure(texts)
+    assert len(texts) > 2 * len(set(want)) > 60
+    rows = spark.createDataFrame([(i, bytearray(simhash.wide_simhash(t)), t) for i, t in enumerate(texts)], "entry bigint, wide binary, text string")
+    label = {r.id: r.label for r in components.connected(simhash._alike_links(rows, block_chars)).collect()}
+    assert [label.get(i, i) for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -511,7 +557,21 @@ def test_cascade_gives_the_same_verdict_in_any_order(spark, tiny):
     rows = rows.select(quality.cascade(t, found).alias("a"), quality.cascade(t, found[::-1]).alias("b")).collect()
     assert all(r.a == r.b for r in rows) and {r.a for r in rows} == {True, False}
     ranked = quality.measure(docs, found)
-    assert [m.rank for m in ranked] == sorted((m.rank for m in ranked), reverse=True) and {m.rule.name for m in ranked} == {r.name for r in found}
+    assert {m.rule.name for m in ranked} == {r.name for r in found} and all(0 <= m.rejected <= 1 and m.seconds > 0 for m in ranked)
+
+
+def test_cascade_takes_the_best_rule_of_what_is_left():
+    a, b, c = (quality.Rule(n, None) for n in "abc")
+    # b rejects the same rows as a at twice the cost; c is the dearest, and rejects other rows.
+    order = quality.in_order([a, b, c], [1.0, 2.0, 3.0], [(0b011, 40), (0b001, 10), (0b100, 20), (0, 30)])
+    assert [m.rule.name for m in order] == ["a", "c", "b"] and [m.rejected for m in order] == [0.5, 0.2, 0.0]
+    assert [m.rule.name for m in quality.in_order([a, b], [1.0, 1.0], [])] == ["a", "b"]
+
+
+def test_cascade_keeps_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, "some words here", "mine", 7)], "doc_id int, text string, __q_words string, __Q_CHARS int")
+    row = quality.judge(df).first()
+    assert (row["__q_words"], row["__Q_CHARS"]) == ("mine", 7) and quality.measures(df).first()["__q_words"] == "mine"
 
 
 def test_cascade_keeps_clean_labelled_documents(spark):
@@ -530,6 +590,38 @@ def base_spans(text):
     return ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in sorted(out))
 
 
+def markov_spans(text, table):
+    """All spans of the Markov kind, without Spark: tokens, scores, and what base spans cover."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in filter(None, base_spans(text).split(","))]
+    letters = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out = []
+    import regex
+
+    for m in regex.finditer(secrets.TOKEN, text):
+        pairs = [(letters.get(a), letters.get(b)) for a, b in zip(m[0], m[0][1:], strict=False)]
+        total = sum(table[a * len(letters) + b] for a, b in pairs if a is not None and b is not None)
+        if total > secrets.PRIOR_NATS and not any(s <= m.start() and m.end() <= e for s, e in base):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_of_the_query_equal_brute_force(spark, tiny, docs):
+    rows = {r.doc_id: r.spans for r in secrets.op10_secret_scan(spark, tiny).collect()}
+    table = secrets.train(secrets.labelled(spark, more=secrets.words_of_sample(documents(spark, tiny).select("doc_id", "text"))))
+    assert rows.keys() == docs.keys()
+    for i, text in docs.items():
+        assert [x for x in rows[i].split(",") if x.startswith("markov")] == markov_spans(text, table)
+    # Of the words of real texts hardly any may look like a secret.
+    flagged = sum(len(markov_spans(t, table)) for t in docs.values())
+    assert flagged <= 0.0005 * sum(len(words(t)) for t in docs.values())
+
+
+def test_spans_of_many_matches(spark):
+    text = " ".join(f"token={i:08d}" for i in range(3000))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "i int, text string"), [0.0] * 68**2).select(secrets.as_text(F.col("base_spans")).alias("b")).first()
+    assert r.b == base_spans(text)
+
+
 def test_secret_spans_equal_plain_scan(spark):
     rng = random.Random(14)
     bits = ["token", "=", ":", " ", "'", '"', "PASSWORD", "api_key", "apikey", "secret", "AKIA", "ABCD1234EFGH5678", "deadbeef" * 5, "abc", "é", "x1y2z3w4", "0" * 31, "\n", "Passwd= hunter2hunter2"]
