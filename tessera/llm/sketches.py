@@ -17,8 +17,6 @@ successor, and keys not at all.
 from __future__ import annotations
 
 import json
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,15 +99,25 @@ def peel(diff: Column, cells: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step)
 
 
+def recovered(diff: Column, cells: int) -> Column:
+    """The keys that a difference of sketches gives up, each with the sign of the side that
+    has it (1: the first one), null if cells are left."""
+    return let(peel(diff, cells), lambda p: F.when(~F.exists(p["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0)), p["found"]))
+
+
 def decoded(diff: Column, cells: int) -> Column:
     """Number of keys recovered, null if cells are left."""
-    return let(peel(diff, cells), lambda p: F.when(~F.exists(p["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0)), F.size(p["found"])))
+    return let(recovered(diff, cells), lambda f: F.when(f.isNotNull(), F.size(f)))
 
 
 def _tries(a: Column, b: Column) -> Column:
-    """Differing keys of two small sets: by ever larger sketches."""
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(*[decoded(subtract(cells_of(a, c), cells_of(b, c)), c) for c in TRIES], exact)
+    """Differing keys of two small sets: by ever larger sketches, at last by comparing them."""
+
+    def signed(keys: Column, sign: int) -> Column:
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("s")))
+
+    exact = F.concat(signed(F.array_except(a, b), 1), signed(F.array_except(b, a), -1)).cast(FOUND)
+    return F.coalesce(*[recovered(subtract(cells_of(a, c), cells_of(b, c)), c) for c in TRIES], exact)
 
 
 def _parted(a: Column, b: Column) -> Column:
@@ -122,24 +130,25 @@ def _parted(a: Column, b: Column) -> Column:
         return F.filter(keys, lambda k: F.shiftright(k, shift) % n == g)
 
     def inner(x: Column, y: Column, n: Column) -> Column:
-        return F.aggregate(F.sequence(zero, n - 1), zero, lambda acc, h: acc + let(F.struct(part(x, 48, n, h).alias("a"), part(y, 48, n, h).alias("b")), lambda s: _tries(s["a"], s["b"])))
+        return F.flatten(F.transform(F.sequence(zero, n - 1), lambda h: let(F.struct(part(x, 48, n, h).alias("a"), part(y, 48, n, h).alias("b")), lambda s: _tries(s["a"], s["b"]))))
 
     def outer(n: Column) -> Column:
-        return F.aggregate(F.sequence(zero, n - 1), zero, lambda acc, g: acc + let(F.struct(part(a, 36, n, g).alias("a"), part(b, 36, n, g).alias("b")), lambda s: inner(s["a"], s["b"], n)))
+        return F.flatten(F.transform(F.sequence(zero, n - 1), lambda g: let(F.struct(part(a, 36, n, g).alias("a"), part(b, 36, n, g).alias("b")), lambda s: inner(s["a"], s["b"], n))))
 
     return let(F.ceil(F.sqrt(parts)).cast("int"), outer)
 
 
-def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Jaccard likeness of two texts' distinct pieces, from the number of keys that
-    their sketches' difference gives; two texts without pieces are alike."""
+def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """Array of (k, s): the digests of the pieces that only one of two versions has, as their
+    sketches give them up; s is 1 for the first one's, -1 for the second one's."""
+    return F.coalesce(recovered(subtract(cells_a, cells_b), CELLS), _parted(a, b))
 
-    def ratio(d: Column) -> Column:
-        both = (F.size(a) + F.size(b)).cast("double")
-        return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
-    first = decoded(subtract(cells_a, cells_b), CELLS)
-    return let(F.coalesce(first, _parted(a, b)), ratio)
+def likeness(a: Column, b: Column, differing: Column) -> Column:
+    """Jaccard likeness of two texts' distinct pieces, from the number of keys that their
+    sketches' difference gives; two texts without pieces are alike."""
+    both = (F.size(a) + F.size(b)).cast("double")
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / (both + F.size(differing)))
 
 
 def as_string(n_pieces: Column, cells: Column) -> Column:
@@ -154,58 +163,79 @@ def fingerprint(text: Column) -> Column:
     return let(keys_of(t), lambda k: as_string(F.size(k), cells_of(F.array_distinct(k), CELLS)))
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below doc_id (null: one more than all), found in two steps."""
-    if not bounds:
-        return F.when(doc_id.isNull(), F.lit(1)).otherwise(F.lit(0))
-    step = 64
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.from_json(F.lit(json.dumps([c[0] for c in chunks])), "array<bigint>")
-    nested = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
+def _order_key(doc_id: Column, text: Column) -> Column:
+    """A string that sorts as (doc_id, nulls last, digest of the text) does."""
+    turned = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), turned), F.lit("1")), F.md5(text))
+
 
-    def within(k: Column) -> Column:
-        return F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + F.size(F.filter(F.get(nested, k - 1), lambda x: x <= doc_id)))
+def _range_of(key: Column, firsts: list[str]) -> Column:
+    """Place of the last of the sorted keys `firsts` at or below a key, found in two steps."""
+    step = max(int(len(firsts) ** 0.5), 1)
+    chunks = [firsts[i : i + step] for i in range(0, len(firsts), step)]
+    heads = F.from_json(F.lit(json.dumps([c[0] for c in chunks])), "array<string>")
+    nested = F.from_json(F.lit(json.dumps(chunks)), "array<array<string>>")
 
-    return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(let(F.size(F.filter(heads, lambda x: x <= doc_id)), within))
+    def within(c: Column) -> Column:
+        return (c - 1) * step + F.size(F.filter(F.get(nested, c - 1), lambda x: x <= key)) - 1
+
+    return let(F.size(F.filter(heads, lambda x: x <= key)), within)
+
+
+def _bounds(keys: DataFrame, n: int) -> list[str]:
+    """First keys of n ranges or fewer of about as many characters of text each. keys: (key,
+    size). Spark samples the keys for finer ranges, of which only first key and size come
+    to the driver (8 n rows); neighbours are joined there."""
+    fine = keys.repartitionByRange(8 * n, "key").withColumn("part", F.spark_partition_id())
+    rows = sorted((r["key"], r["size"]) for r in fine.groupBy("part").agg(F.min("key").alias("key"), F.sum("size").alias("size")).collect())
+    share = sum(size for _, size in rows) / n
+    out, held = [], share
+    for key, size in rows:
+        if held >= share:
+            out.append(key)
+            held = 0
+        held += size
+    return out
 
 
 def with_next(docs: DataFrame, ranges: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, *more) plus next_text and next_<more>: the row after it by
-    doc_id (nulls last), ties by text; after the last row the first.
+    doc_id (nulls last), ties by a digest of the text; after the last row the first.
 
-    A global order without a global sort: quantiles of doc_id cut ranges, rows are
-    shuffled to their range once, and the first row of a range is also sent to the
-    range before. Only the ranges' bounds and first ids (as many as shuffle
-    partitions, 4096 at most) come to the driver.
+    A global order without a global sort: ranges of the sort key, of like size however many
+    rows share an id or have none, take the rows in one shuffle, and the first row of a range
+    is also sent to the range before. Only the ranges' first keys come to the driver.
     """
-    n = min(ranges or partitions(docs.sparkSession), 4096)
-    ids = docs.select("doc_id")
-    bounds = sorted({int(x) for x in ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
-    at = _range_of(F.col("doc_id"), bounds)
-    firsts = sorted((r["r"], r["first"]) for r in ids.groupBy(at.alias("r")).agg(F.min("doc_id").alias("first")).collect())
+    n = ranges or partitions(docs.sparkSession)
+    key = _order_key(F.col("doc_id"), F.col("text"))
+    firsts = _bounds(docs.select(key.alias("key"), (F.length("text") + 64).alias("size")), n)
     if not firsts:
         return docs.select("*", F.col("text").alias("next_text"), *[F.col(c).alias(f"next_{c}") for c in more])
-    before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
-    target = F.from_json(F.lit(json.dumps({str(k): v for k, v in before.items()})), "map<string,int>")
-    heads = docs.filter(reduce(lambda a, b: a | b, [F.col("doc_id").isin([f for _, f in firsts if f is not None])] + [F.col("doc_id").isNull() for _, f in firsts if f is None]))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
-    heads = heads.withColumn("__r", at).withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy(*order))).filter("__n = 1").drop("__n")
-    heads = heads.withColumn("__r", F.element_at(target, F.col("__r").cast("string"))).withColumn("__head", F.lit(1))
-    rows = docs.withColumn("__r", at).withColumn("__head", F.lit(0)).unionByName(heads)
-    w = Window.partitionBy("__r").orderBy(F.col("__head"), *order)
+    keyed = docs.withColumn("__k", key).withColumn("__r", _range_of(F.col("__k"), firsts))
+    # A range's first row: of rows alike in key any one, they are alike in text.
+    heads = keyed.filter(F.array_contains(F.from_json(F.lit(json.dumps(firsts)), "array<string>"), F.col("__k")))
+    heads = heads.withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy("__k"))).filter("__n = 1").drop("__n")
+    heads = heads.withColumn("__r", F.pmod(F.col("__r") - 1, F.lit(len(firsts)))).withColumn("__head", F.lit(1))
+    rows = keyed.withColumn("__head", F.lit(0)).unionByName(heads)
+    w = Window.partitionBy("__r").orderBy("__head", "__k")
     rows = rows.select("*", F.lead("text").over(w).alias("next_text"), *[F.lead(c).over(w).alias(f"next_{c}") for c in more])
-    return rows.filter("__head = 0").drop("__r", "__head")
+    return rows.filter("__head = 0").drop("__r", "__head", "__k")
 
 
 def compare_versions(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """rows plus one likeness column a pair of array<bigint> key columns."""
-    out = without(rows, list(pairs))
+    """rows plus, for each pair of array<bigint> key columns, its likeness and, behind
+    <name>_keys, the differing digests themselves (k, s; see `difference`). Null keys
+    count as none; columns of rows named like the results give way to them."""
+    out = without(rows, [*pairs, *(f"{n}_keys" for n in pairs)])
+    blank = F.array().cast("array<bigint>")
     for a in sorted({x for p in pairs.values() for x in p}):
-        out = out.withColumn(f"__d_{a}", F.array_distinct(a))
+        out = out.withColumn(f"__d_{a}", F.array_distinct(F.coalesce(a, blank)))
     for a in sorted({x for p in pairs.values() for x in p}):
         out = out.withColumn(f"__c_{a}", cells_of(F.col(f"__d_{a}"), CELLS))
     for name, (a, b) in pairs.items():
-        out = out.withColumn(name, likeness(F.col(f"__d_{a}"), F.col(f"__d_{b}"), F.col(f"__c_{a}"), F.col(f"__c_{b}")))
+        out = out.withColumn(f"{name}_keys", difference(F.col(f"__d_{a}"), F.col(f"__d_{b}"), F.col(f"__c_{a}"), F.col(f"__c_{b}")))
+    for name, (a, b) in pairs.items():
+        out = out.withColumn(name, likeness(F.col(f"__d_{a}"), F.col(f"__d_{b}"), F.col(f"{name}_keys")))
     return out
 
 
@@ -226,11 +256,12 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.size("keys"), F.col("__c_keys")).alias("fingerprint"),
         as_string(F.size("edited_keys"), F.col("__c_edited_keys")).alias("edited_fingerprint"), "near_edited", "near_next",
+        F.size(F.filter("near_edited_keys", lambda x: x["s"] == 1)).cast("long").alias("n_removed"), F.size(F.filter("near_edited_keys", lambda x: x["s"] == -1)).cast("long").alias("n_added"),
     )
 
 
 ORACLE = r"""
-with d as (select row_number() over (order by doc_id nulls last, coalesce(text, '')) as r, doc_id, coalesce(text, '') as text, count(*) over () as n from documents),
+with d as (select row_number() over (order by doc_id nulls last, md5(coalesce(text, ''))) as r, doc_id, coalesce(text, '') as text, count(*) over () as n from documents),
 e as (select a.r, a.doc_id, a.text, b.text as nt, length(a.text) as n_chars,
              left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) as et
       from d a join d b on b.r = a.r % a.n + 1),
@@ -244,7 +275,8 @@ f as (select r, v, string_agg(lower(printf('%x-%x-%x', coalesce(n, 0), coalesce(
 h as (select e.r, f.v, lower(printf('%x', (select count(*) from p where p.r = e.r and p.v = f.v))) || '.' || f.s as s from e join f using (r)),
 l as (select r, v, list(k) as ks from u group by r, v),
 j as (select e.r, w.v, coalesce(a.ks, []::bigint[]) as a, coalesce(b.ks, []::bigint[]) as b from e cross join (values (1), (2)) w(v) left join l a on a.r = e.r and a.v = 0 left join l b on b.r = e.r and b.v = w.v),
-q as (select r, v, case when len(a) + len(b) = 0 then 1.0::double else len(list_intersect(a, b))::double / (len(a) + len(b) - len(list_intersect(a, b))) end as near from j)
-select e.doc_id, cast(e.n_chars as bigint) as n_chars, sha256(e.et) as edited_sha256, h0.s as fingerprint, h1.s as edited_fingerprint, q1.near as near_edited, q2.near as near_next
-from e join h h0 on h0.r = e.r and h0.v = 0 join h h1 on h1.r = e.r and h1.v = 1 join q q1 on q1.r = e.r and q1.v = 1 join q q2 on q2.r = e.r and q2.v = 2
+q as (select r, v, case when len(a) + len(b) = 0 then 1.0::double else len(list_intersect(a, b))::double / (len(a) + len(b) - len(list_intersect(a, b))) end as near from j),
+x as (select r, len(list_filter(a, lambda k: not list_contains(b, k))) as n_removed, len(list_filter(b, lambda k: not list_contains(a, k))) as n_added from j where v = 1)
+select e.doc_id, cast(e.n_chars as bigint) as n_chars, sha256(e.et) as edited_sha256, h0.s as fingerprint, h1.s as edited_fingerprint, q1.near as near_edited, q2.near as near_next, cast(n_removed as bigint) as n_removed, cast(n_added as bigint) as n_added
+from e join x using (r) join h h0 on h0.r = e.r and h0.v = 0 join h h1 on h1.r = e.r and h1.v = 1 join q q1 on q1.r = e.r and q1.v = 1 join q q2 on q2.r = e.r and q2.v = 2
 """

@@ -357,6 +357,31 @@ def test_sketch_peels_differences_and_retries_larger(spark):
         assert r.first in (None, r.d) and r.near == pytest.approx(r.j)
 
 
+def test_versions_give_up_the_digests_that_differ(spark):
+    rng = random.Random(18)
+    rows = []
+    for i in range(30):
+        a = {rng.getrandbits(60) for _ in range(rng.choice([0, 3, 40, 300]))}
+        b = set(list(a)[: len(a) // 2]) | {rng.getrandbits(60) for _ in range(rng.choice([0, 3, 60]))}
+        rows.append((i, list(a) if i else None, list(b), "mine"))
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, near_keys string")
+    assert sketches.compare_versions(df.limit(0), {"near": ("a", "b")}).collect() == []
+    for r in sketches.compare_versions(df, {"near": ("a", "b")}).collect():
+        a, b = set(r.a or []), set(r.b)
+        assert sorted((x.k, x.s) for x in r.near_keys) == sorted([(k, 1) for k in a - b] + [(k, -1) for k in b - a])
+
+
+def test_next_rows_of_one_id_are_parted(spark):
+    """Rows that share an id, or have none, lie in ranges of like size."""
+    texts = [f"text {i}" for i in range(400)]
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.text): r.next_text for r in sketches.with_next(df, ranges=8).collect()}
+    order = sorted(enumerate(texts), key=lambda x: (x[0] % 2, hashlib.md5(x[1].encode()).hexdigest()))
+    assert got == {(None if i % 2 else 7, t): n for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True)}
+    keys = df.select(sketches._order_key(F.col("doc_id"), F.col("text")).alias("key"), F.lit(1).alias("size"))
+    assert len(sketches._bounds(keys, 8)) >= 6
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     df = spark.createDataFrame([("a. b.\nc",), ("a. b.\nc",), ("a. b.\nd",), (None,), ("",)], "t string")
     prints = [r.f for r in df.select(sketches.fingerprint(F.col("t")).alias("f")).collect()]
