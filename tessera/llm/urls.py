@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, without
+from .common import ship, small, without
 
 #: Rules that one index may hold: it is sent to every worker.
 MAX_RULES = 200_000
@@ -81,10 +81,14 @@ PATTERNS = (
     ("block", "||spam-farm."), ("block", "||cheap-pills."), ("block", "-pills."), ("block", "-casino."), ("block", "||casino-"),
     ("block", "/spam/"), ("block", "/ads/*"), ("block", "^adserver^"), ("block", "*/phishing/*"), ("allow", "||example.com/fr/"),
 )
+#: Numbered hosts below any example domain. They share a token that most URLs have, so only
+#: the index by the rarest token keeps them from being fetched for these.
+NUMBERED = 10_000
 
 
 def rules() -> list[Rule]:
-    return [site_rule(*s) for s in SITES] + [pattern_rule(*p) for p in PATTERNS]
+    numbered = [pattern_rule("block", f"||ad{i}.example.") for i in range(NUMBERED)]
+    return [site_rule(*s) for s in SITES] + [pattern_rule(*p) for p in PATTERNS] + numbered
 
 
 class Index:
@@ -92,7 +96,7 @@ class Index:
 
     def __init__(self, found: list[Rule], counts: dict[str, int]):
         self.rules = found
-        self.compiled = [re.compile(r.regex, re.S) for r in found]
+        self.patterns: dict[int, re.Pattern[str]] = {}  # compiled when a URL first fetches them
         self.filed: dict[str, list[int]] = {}
         self.always: list[int] = []
         for i, r in enumerate(found):
@@ -101,6 +105,15 @@ class Index:
             else:
                 self.always.append(i)
 
+    def pattern(self, i: int) -> re.Pattern[str]:
+        if i not in self.patterns:
+            self.patterns[i] = re.compile(self.rules[i].regex, re.S)
+        return self.patterns[i]
+
+    @property
+    def compiled(self) -> list[re.Pattern[str]]:
+        return [self.pattern(i) for i in range(len(self.rules))]
+
     def candidates(self, subject: str) -> set[int]:
         out = set(self.always)
         for t in set(tokens_of(subject)):
@@ -112,7 +125,7 @@ class Index:
         if not host and not path:
             return host, path, None
         subject = f"{host}{path}"
-        fits = [i for i in self.candidates(subject) if self.compiled[i].search(subject)]
+        fits = [i for i in self.candidates(subject) if self.pattern(i).search(subject)]
         return host, path, self.rules[max(fits, key=lambda i: (self.rules[i].rank, -i))] if fits else None
 
 
@@ -120,9 +133,9 @@ def token_counts(pages: DataFrame, wanted: set[str], url: str = "url") -> dict[s
     """Of the rules' tokens only: how many URLs of the whole table contain each."""
     if len(wanted) > 20 * MAX_RULES:
         raise ValueError("too many tokens")
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url)), F.lit("[a-z0-9]+"), F.lit(0)))
-    asked = F.from_json(F.lit("[" + ",".join(f'"{t}"' for t in sorted(wanted)) + "]"), "array<string>")
-    rows = pages.select(F.explode(F.array_intersect(tokens, asked)).alias("t")).groupBy("t").count().collect()
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url).cast("string")), F.lit("[a-z0-9]+"), F.lit(0)))
+    asked = small(pages.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "t string"), len(wanted))
+    rows = pages.select(F.explode(tokens).alias("t")).join(asked, "t").groupBy("t").count().collect()
     return {r["t"]: r["count"] for r in rows}
 
 
@@ -171,7 +184,9 @@ r as (select *, case
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule, lower(host || path) as s from p),
 f as (select *, case when rule is not null or s = '' then null
     when regexp_matches(s, '^([^/]*\.)?example\.com/fr/') then '||example.com/fr/'
+    when regexp_matches(s, '^([^/]*\.)?ad[1-9][0-9]{1,3}\.example\.') then '||ad' || regexp_extract(s, '^([^/]*\.)?ad([1-9][0-9]{1,3})\.example\.', 2) || '.example.'
     when regexp_matches(s, '^([^/]*\.)?cheap-pills\.') then '||cheap-pills.'
+    when regexp_matches(s, '^([^/]*\.)?ad[0-9]\.example\.') then '||ad' || regexp_extract(s, '^([^/]*\.)?ad([0-9])\.example\.', 2) || '.example.'
     when regexp_matches(s, '[^a-z0-9_.%-]phishing/') and contains(s, '/phishing/') then '*/phishing/*'
     when regexp_matches(s, '^([^/]*\.)?spam-farm\.') then '||spam-farm.'
     when regexp_matches(s, '[^a-z0-9_.%-]adserver([^a-z0-9_.%-]|$)') then '^adserver^'

@@ -304,6 +304,31 @@ def test_index_decides_as_all_rules_do(spark):
         assert best is expected, url
 
 
+def test_ten_thousand_rules_are_hardly_fetched(spark, tiny):
+    found = urls.rules()
+    assert len(found) > 10_000
+    pages = [r.url or "" for r in spark.read.parquet(f"{tiny}/pages.parquet").select("url").collect()]
+    pages += ["http://ad77.example.com/x", "https://www.ad9999.example.org/en/", "http://ad10000.example.com/", "http://bad7.example.com/", "http://ad007.example.com/"]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id bigint, url string")
+    index = urls.Index(found, urls.token_counts(table, {t for r in found for t in r.tokens}))
+    fetched = [len(index.candidates("".join(urls.host_and_path(u)))) for u in pages]
+    assert sum(fetched) < 0.001 * len(found) * len(pages)
+    for u in pages[-200:]:  # all rules against the fetched ones
+        host, path, best = index.best(u)
+        fits = [i for i in range(len(found)) if (host or path) and index.pattern(i).search(host + path)]
+        assert best is (found[max(fits, key=lambda i: (found[i].rank, -i))] if fits else None), u
+    got = {r.url: (r.verdict, r.filter) for r in urls.judge(table).collect()}
+    assert got["http://ad77.example.com/x"] == ("block", "||ad77.example.") and got["http://ad10000.example.com/"] == got["http://ad007.example.com/"] == ("allow", None)
+
+
+def test_odd_urls(spark):
+    rows = [(1, None), (2, ""), (3, "http://"), (4, "://"), (5, "no scheme"), (6, "http://A.NET/" + "x" * 50_000), (7, "http://a.net/"), (7, "http://a.net/")]
+    df = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "page_id int, url string, HOST string, filter string")
+    got = urls.judge(df).collect()
+    assert len(got) == len(rows) and {(r.page_id, r.verdict) for r in got} == {(1, "allow"), (2, "allow"), (3, "allow"), (4, "allow"), (5, "allow"), (6, "block"), (7, "block")}
+    assert all(r.host in ("", "a.net") for r in got) and urls.judge(df.limit(0)).collect() == []
+
+
 def test_hosts_and_site_rules():
     judge = lambda u: (lambda r: (r.text, r.verdict) if r else None)(urls.Index(urls.rules(), {}).best(u)[2])
     assert urls.host_and_path("HTTP://A.Example.COM:80/p/q?x#y") == ("a.example.com:80", "/p/q")
@@ -332,6 +357,59 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert not any(e in rows[1].text for e in ("Bob.Ray@x.org", "16.195.23.156", "4349000490986231", "Smith")) and "CC BY-NC 4.0" in rows[1].text
 
 
+def test_names_share_parts_and_follow_gender(spark):
+    rows = [
+        (1, "Mrs. Jane Smith came. Later Jane Smith left, and Smith wrote to Mr. John Smith."), (2, "Mr Smith and Dr. Bob Stone met; Bob Stone paid."), (3, "Jane Smith alone stays."),
+        (4, "Господин Иванов, Госпожа Анна Иванова и Анна Иванова, Иванова."),
+    ]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id int, text string"), found="found").collect()}
+    made = {i: [(f.entity, f.surrogate) for f in r.found] for i, r in got.items()}
+    jane, bare, family, john = (s for _, s in made[1])
+    assert [e for e, _ in made[1]] == ["Mrs. Jane Smith", "Jane Smith", "Smith", "Mr. John Smith"]
+    assert jane == f"Mrs. {bare}" and bare.split()[1] == family == john.split()[2] and john.split()[1] in pii.GIVEN["man", "latin"]
+    assert dict(made[2])["Mr Smith"] == f"Mr {family}" and dict(made[2])["Dr. Bob Stone"] == "Dr. " + dict(made[2])["Bob Stone"]
+    assert got[3].text == rows[2][1] and made[3] == []
+    man, anna, again, alone = (s for _, s in made[4])
+    stem = man.split()[1]
+    assert anna == f"Госпожа {again}" and again.split()[1] == alone and alone != stem and any(stem == alone.removesuffix(w) + m for m, w in pii.ENDINGS)
+    for i, text in rows[:2]:
+        assert not any(n in got[i].text for n in ("Jane", "Smith", "John", "Bob", "Stone"))
+
+
+def test_surrogates_equal_brute_force(spark, tiny, docs):
+    """Every match of the patterns is replaced, by a function of the entity that keeps entities apart; all else stays."""
+    import regex
+
+    any_of = regex.compile(pii.ANY)
+    rows = pii.replace(documents(spark, tiny).select("doc_id", "text"), found="found").collect()
+    made, plain = {}, {}
+    for r in rows:
+        text = docs[r.doc_id]
+        matches = list(any_of.finditer(text))
+        assert [f.entity for f in r.found] == [m[0] for m in matches]
+        at, out = 0, []
+        for m, f in zip(matches, r.found, strict=True):
+            out += [text[at : m.start()], f.surrogate]
+            at = m.end()
+            assert made.setdefault((f.kind, f.entity), f.surrogate) == f.surrogate
+            form = regex.sub("[^0-9]", "", f.entity) if f.kind in pii.NUMBERS else f.entity.lower()
+            plain.setdefault((f.kind, form), set()).add(regex.sub("[^0-9]", "", f.surrogate) if f.kind in pii.NUMBERS else f.surrogate.lower())
+        assert (r.text or "") == "".join(out) + text[at:]
+    assert len(made) > 10 and all(len(v) == 1 for v in plain.values())
+    taken = [(k, *v) for (k, _), v in plain.items()]
+    assert len(set(taken)) == len(taken) and not {(k, form) for k, form in plain} & set(taken)
+
+
+def test_surrogates_need_no_round_limit(spark):
+    """More entities of a short form than it has surrogates: later attempts are longer."""
+    rows = spark.createDataFrame([("given-man", f"n{i}") for i in range(3000)] + [("ip", f"10.0.{i // 256}.{i % 256}") for i in range(2000)], "kind string, normal string")
+    later = {(r.kind, r.normal): r.attempt for r in pii.later_attempts(rows).collect()}
+    assert later and all(a > 0 for a in later.values())
+    made = rows.join(spark.createDataFrame([(*k, a) for k, a in later.items()], "kind string, normal string, attempt int"), ["kind", "normal"], "left").fillna(0, "attempt")
+    made = [(r.kind, r.made) for r in made.select("kind", F.lower(pii.surrogate_normal(F.col("kind"), F.col("normal"), F.col("attempt"))).alias("made")).collect()]
+    assert len(set(made)) == 5000
+
+
 def test_surrogates_of_many_entities_stay_distinct(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.format_string("ip 77.%d.%d.9 x", (F.col("id") / 200).cast("int") % 256, F.col("id") % 200).alias("text"))
     rows = pii.replace(df)
