@@ -38,6 +38,9 @@ ZIPF = 2.7
 #: Stretches that a worker remembers.
 MOST_KNOWN = 400_000
 
+#: Characters of an entry of a character map at most; published maps stay below ten.
+LONGEST = 64
+
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM = 1
 
@@ -80,12 +83,12 @@ class Model:
     kinds: list[int]
     dummy_prefix: bool
     squeeze: bool
+    char_map: bytes = b""
 
 
 def read_model(data: bytes) -> Model:
-    """The parts of a model file that coding needs. Models whose normalizer has a
-    character map are refused rather than coded wrongly."""
-    pieces, scores, kinds = [], [], []
+    """The parts of a model file that coding needs."""
+    pieces, scores, kinds, char_map = [], [], [], b""
     model_type, dummy, squeeze = UNIGRAM, True, True
     for number, _, value in _fields(data):
         if number == 1:
@@ -97,12 +100,89 @@ def read_model(data: bytes) -> Model:
             model_type = {n: v for n, _, v in _fields(value)}.get(3, UNIGRAM)
         elif number == 3:
             f = {n: v for n, _, v in _fields(value)}
-            if f.get(2):
-                raise ValueError("the model's normalizer has a character map")
+            char_map = f.get(2) or b""
             dummy, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
     if model_type != UNIGRAM:
         scores = [-math.log(ZIPF - s) if k == NORMAL else s for s, k in zip(scores, kinds, strict=True)]
-    return Model(pieces, scores, kinds, dummy, squeeze)
+    return Model(pieces, scores, kinds, dummy, squeeze, char_map)
+
+
+class CharMap:
+    """A normalizer's map: a compiled double array over the bytes of what is replaced, and the
+    texts that replace it, each ended by a zero. At each place the longest entry counts; what
+    no entry fits stays.
+
+    A unit of the array holds, from its lowest bit: the label's 8, one that says whether an
+    entry ends here, one that shifts the offset by 8, and the offset's 22.
+    """
+
+    def __init__(self, data: bytes):
+        (size,) = struct.unpack_from("<I", data)
+        self.units = np.frombuffer(data, "<u4", size // 4, 4).tolist()
+        self.texts = data[4 + size :]
+        #: Characters that no longer entry starts with, and what they become.
+        self.alone: dict[str, str] = {}
+        self.starts: set[str] = set()  # and those that longer entries start with
+
+    def _below(self, at: int) -> int:
+        unit = self.units[at]
+        return at ^ ((unit >> 10) << ((unit & 512) >> 6))
+
+    def _step(self, base: int, byte: int) -> int:
+        """The node that a byte leads to from a node's base, or -1."""
+        at = base ^ byte
+        return at if at < len(self.units) and self.units[at] & 0x800000FF == byte else -1
+
+    def _text(self, node: int) -> str:
+        start = self.units[self._below(node)] & 0x7FFFFFFF
+        return self.texts[start : self.texts.index(b"\0", start)].decode("utf-8")
+
+    def longest(self, data: bytes) -> tuple[int, str | None]:
+        """(bytes, replacement) of the longest entry that data starts with; 0, None if there is none."""
+        base, end, found = self._below(0), 0, -1
+        for i, byte in enumerate(data):
+            node = self._step(base, byte)
+            if node < 0:
+                break
+            base = self._below(node)
+            if self.units[node] >> 8 & 1:
+                end, found = i + 1, node
+        return end, self._text(found) if end else None
+
+    def _goes_on(self, char: bytes) -> bool:
+        """Does an entry start with a character and more?"""
+        base = self._below(0)
+        for byte in char:
+            node = self._step(base, byte)
+            if node < 0:
+                return False
+            base = self._below(node)
+        return any(self._step(base, byte) >= 0 for byte in range(1, 256))
+
+    def apply(self, text: str) -> str:
+        out: list[str] = []
+        i = 0
+        while i < len(text):
+            c = text[i]
+            known = self.alone.get(c)
+            if known is None and c not in self.starts:
+                own = c.encode("utf-8", "surrogatepass")
+                if self._goes_on(own):
+                    self.starts.add(c)
+                else:
+                    n, new = self.longest(own)
+                    self.alone[c] = known = new if n else c
+            if known is not None:
+                out.append(known)
+                i += 1
+                continue
+            data = text[i : i + LONGEST].encode("utf-8", "surrogatepass")
+            n, new = self.longest(data)
+            out.append(new if n else c)
+            i += len(data[:n].decode("utf-8", "surrogatepass")) if n else 1
+        return "".join(out)
+
+
 
 
 class DoubleArray:
@@ -187,6 +267,9 @@ class Coder:
         else:  # no piece holds a line end, so it is a stretch of its own
             self.stretch = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.char_map = CharMap(m.char_map) if m.char_map else None
+        users = sorted((p for p, k in zip(m.pieces, m.kinds, strict=True) if k == USER and p), key=len, reverse=True)
+        self.users = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users and m.char_map else None
         #: What an id stands for on its own; None for bytes that are part of a character.
         self.surface: list[str | None] = [
             (chr(self.bytes_of[i]) if self.bytes_of[i] < 0x80 else None) if k == BYTE else {UNKNOWN: " ⁇ ", CONTROL: ""}.get(k, p.replace(MARK, " "))
@@ -194,6 +277,9 @@ class Coder:
         ]
 
     def normalize(self, text: str) -> str:
+        if self.char_map:  # pieces that a user defined are never replaced
+            parts = self.users.split(text) if self.users else [text]
+            text = "".join(p if i % 2 else self.char_map.apply(p) for i, p in enumerate(parts))
         if self.model.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:

@@ -116,6 +116,29 @@ def test_pieces_equal_the_library_on_unigram_scores():
         assert ids == library.encode(text) and coder.decode(ids) == library.decode(ids)
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_character_maps_equal_the_library(rule, docs):
+    spm = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.NormalizerSpec()
+    spec.ParseFromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(MODEL, "rb").read())
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.CopyFrom(spec)
+    coder = pieces.Coder(pieces.read_model(proto.SerializeToString()))
+    for p, x in zip(proto.pieces, coder.model.scores, strict=True):
+        p.score = x
+    library = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    rng = random.Random(2)
+    bits = ["ＡＢ", "ﬁ", "　", " ", "e\u0301", "A\u030a", "½", "한", "\u1112\u1161\u11ab", "ｶﾞ", "①", "\t", "\n", "\u200b", "é", "ß", "STRASSE", "x", "\u0300", "漢字", "㍿", "\x07", "…", "İ"]
+    for text in ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(600)]:
+        assert coder.encode(text) == library.encode(text), text
+    for text in list(docs.values())[:100]:
+        assert coder.normalize(text) == library.normalize(text), text
+
+
 def test_pieces_viterbi_is_best_and_round_trips(docs):
     coder = pieces.coder(open(MODEL, "rb").read())
     m = coder.model
@@ -577,6 +600,28 @@ def test_simhash_query_equals_brute_force(spark, tiny, docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash(spark, tiny).collect()} == expected
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 7])
+def test_links_with_more_parts_equal_brute_force(spark, n):
+    rng = random.Random(40 + n)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    found = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(4)})
+    up = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            if (found[i] ^ found[j]).bit_count() <= 3 and up[i] != up[j]:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if x == old else x for x in up]
+    layout = simhash.Layout(n)
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in found], "fp bigint")
+    label = {r.id: r.label for r in components.connected(simhash.near_links(df, layout=layout)).collect()}
+    groups = [label.get(int(np.uint64(x).view(np.int64)), int(np.uint64(x).view(np.int64))) for x in found]
+    assert all((groups[i] == groups[j]) == (up[i] == up[j]) for i in range(len(found)) for j in range(i))
+
+
+def test_more_fingerprints_take_more_parts():
+    assert [simhash.layout_for(n).n for n in (0, 10**6, 10**9, 10**10, 10**12, 10**14, 10**16, 10**30)] == [4, 4, 4, 5, 6, 7, 8, 8]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(5, 5)]
     got = {r.id: r.label for r in components.connected(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
