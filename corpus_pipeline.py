@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over documents, each one of the operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a
-stage returns and gives it to the next one. Rows may be repeated, texts null or empty,
-the table empty; each operator says what it does with them.
+stage returns and gives it to the next one. Every stage gives an empty table for an empty
+one and keeps further columns of docs, whatever their names; only the last adds columns,
+and one of docs that has such a name gives way there.
 """
 
 from __future__ import annotations
@@ -18,28 +19,36 @@ MODEL = "piece_bpe_32k.model"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
-    return quality.judge(docs, result="__kept").filter("__kept").select(*[f"`{c}`" for c in docs.columns])
+    """Documents that no rule of the cascade rejects. Null and empty texts have too few words
+    and go; repeated rows get one verdict and stay as often as they come."""
+    kept = quality.fresh(docs, "__kept")
+    return quality.judge(docs, result=kept).filter(F.col(kept)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest doc_id, nulls last, ties by a
+    hash of the row. Null, empty and white-space texts are copies of each other; of rows
+    alike in all columns one stays."""
     return simhash.drop_near_duplicates(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced; n_chars follows the new text."""
+    """Texts with personal data replaced; n_chars follows the new text. A null text stays null
+    (n_chars too), texts without such data don't change, repeated rows change alike."""
     rows = pii.replace(docs)
     return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Null and empty texts have no words
+    and are never taken; a null source is a source, the last; which of rows alike in id and
+    text the cut meets is open."""
     return mixing.mixed_rows(docs)
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids and what these decode to."""
+    """Documents with their piece ids and what these decode to. Null texts count as empty and
+    have no pieces; rows stay as often as they come."""
     return pieces.encode(docs, public_tokenizers.path(MODEL))
 
 
