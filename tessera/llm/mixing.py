@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, small, staged, text_of, without, word_count
+from .common import documents, forget, partitions, small, staged, text_of, without, word_count
 
 #: Rows of a key range, and ranges of a group of ranges, on average.
 ROWS_PER_RANGE = 4096
@@ -32,6 +32,21 @@ KEY_SPACE = 2**60
 RESULTS = ["size", "source_size", "target", "taken"]
 
 
+def _before(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """rows plus, for each column of sums, <name>_before: its sum over the rows before, in a
+    global order. Rows are range-partitioned, summed in their range, and moved by the ranges
+    before, of which there are as many as shuffle partitions."""
+    spark = rows.sparkSession
+    # Written, so that all that follows sees the same ranges.
+    ranged = staged(rows.repartitionByRange(partitions(spark), *order).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    up_to = (Window.unboundedPreceding, -1)
+    inner, outer = Window.partitionBy("__part").orderBy(*order).rowsBetween(*up_to), Window.orderBy("__part").rowsBetween(*up_to)
+    totals = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    totals = totals.select("__part", *[F.coalesce(F.sum(f"__{c}").over(outer), F.lit(0)).alias(f"__{c}") for c in sums])
+    out = ranged.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"{c}_before") for c in sums]).join(small(totals), "__part")
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"__{c}") for c in sums}).drop("__part", *[f"__{c}" for c in sums])
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
     """Targets of sources: (source, n, source_size) -> plus sid, target, budget.
 
@@ -40,23 +55,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
     source's size, and what that leaves over is shared again by weight. With sources
     ordered by the factor at which they reach their cap, a source is capped exactly
     if the level that the uncapped ones still share lies at or above its own cap, so
-    one pass of window sums over the (small) table of sources solves it.
+    two passes of running sums over the sources solve it, however many there are.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(float(x)) for x in weights])
-    t = sizes.withColumn("sid", (F.row_number().over(by_name) - 1).cast("long"))
+    t = _before(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], ["one"]).withColumnRenamed("one_before", "sid").drop("one")
     t = t.withColumn("weight", F.element_at(w, (F.col("sid") % len(weights) + 1).cast("int")))
-    t = t.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    t = t.withColumn("total", F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)))
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("sid").asc())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    t = t.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    t = t.withColumn("open", F.sum("weight").over(after))
-    t = t.withColumn("capped", F.col("cap") / F.col("weight") <= F.col("left") / F.col("open"))
+    t = t.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = _before(t, [F.col("ratio").asc(), F.col("sid").asc()], ["cap", "weight"])
+    whole = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, open_ = float(whole[0] or 0) * share, float(whole[1] or 0)
+    t = t.withColumn("level", (F.lit(total) - F.col("cap_before")) / (F.lit(open_) - F.col("weight_before"))).withColumn("capped", F.col("ratio") <= F.col("level"))
     # The first uncapped source fixes the level for all after it; what the later ones see is lower.
-    t = t.withColumn("level", F.max(F.when(~F.col("capped"), F.col("left") / F.col("open"))).over(Window.partitionBy()))
-    t = t.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level"))))
+    level = t.agg(F.max(F.when(~F.col("capped"), F.col("level")))).first()[0]
+    t = t.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.lit(level).cast("double"))))
     return t.select("sid", "source", "n", "source_size", "target", F.round("target").cast("long").alias("budget"))
 
 
@@ -113,6 +124,7 @@ def _mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS,
     sums = sums.withColumn("__mix_sbefore", F.coalesce(F.sum("__mix_sum").over(inner), F.lit(0)))
     starts = sums.join(groups.drop("__mix_gsum"), [sid, "__mix_group"])
     starts = staged(starts.select(sid, span, (F.col("__mix_gbefore") + F.col("__mix_sbefore")).alias("__mix_start")), "mix-starts")
+    forget(slim)
 
     rows = ranged(keyed, source).join(small(starts), [sid, span])
     order = Window.partitionBy(sid, span).orderBy(k, F.col(doc_id), size)
