@@ -32,7 +32,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def clashing(odd):
-    names = "size target taken kept fingerprint n_words n_tokens round_trip host rule verdict spans base_spans piece_ids decoded near".split()
+    names = "size target taken sid budget weight cap ratio kept fingerprint n_words n_tokens round_trip host rule verdict spans base_spans piece_ids decoded near".split()
     return odd.select("*", *[F.lit("mine").alias(n) for n in names])
 
 
@@ -207,6 +207,28 @@ def test_mix_meets_budgets_exactly(spark):
         assert r.target == pytest.approx(target[r.source])
 
 
+def test_targets_of_many_sources(spark):
+    """Shared by weight up to twice a source's size, the rest shared again, until none is above."""
+    rng = random.Random(15)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 7, 50, 1000, 40_000]) for i in range(500)} | {None: 300}
+    rows = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n long, source_size long")
+    got = {r.source: (r.sid, r.target) for r in mixing.source_targets(rows).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    assert [got[s][0] for s in order] == list(range(len(order)))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    left, free, target = 1.5 * sum(sizes.values()), set(order), {}
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if 2 * sizes[s] <= weight[s] * level}
+        if not full:
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        free -= full
+    target |= {s: weight[s] * level for s in free}
+    assert all(got[s][1] == pytest.approx(target[s]) for s in order)
+
+
 def test_whole_rows_come_as_often_as_taken(spark):
     rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
