@@ -408,11 +408,11 @@ def table_sample(session: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain_text(session: SparkSession, sf_dir: str) -> DataFrame:
-    """EXPLAIN of a query, as rows: which of the tables it names are scanned, and how often."""
+    """EXPLAIN of a query, as rows: how many columns each scan reads, by the prefix of their names."""
     lines = session.sql(f"explain extended select o_custkey, count(*) from parquet.`{sf_dir}/orders.parquet` join parquet.`{sf_dir}/customer.parquet` on c_custkey = o_custkey where o_orderstatus = 'F' group by o_custkey")
     physical = F.substring_index(F.col("plan"), "== Physical Plan ==", -1)
-    scans = lines.select(F.explode(F.regexp_extract_all(physical, F.lit(r"/([a-z]+)\.parquet"), F.lit(1))).alias("scanned"))
-    return scans.groupBy("scanned").agg(F.count("*").alias("n"))
+    scans = lines.select(F.explode(F.regexp_extract_all(physical, F.lit(r"FileScan parquet \[([^\]]*)\]"), F.lit(1))).alias("columns"))
+    return scans.select(F.substring("columns", 1, 2).alias("scanned"), F.size(F.split("columns", ",")).cast("bigint").alias("n"))
 
 
 API = {
@@ -430,7 +430,7 @@ API_SQL = {
     "tid_scan": "select n_nationkey, cast(tid as bigint) as tid from (select n_nationkey, row_number() over () - 1 as tid from nation) where tid between 3 and 7 or tid = 20",
     "table_function": "select r_regionkey, divisor from (select r_regionkey, unnest(range(1, r_regionkey + 11)) as divisor from region) where (r_regionkey + 10) % divisor = 0",
     "table_sample": "select o_orderpriority, count(*) as n, count(*) > 0 as near from orders group by 1",
-    "explain_text": "select * from (values ('orders', 1), ('customer', 1)) t(scanned, n)",
+    "explain_text": "select * from (values ('o_', 2), ('c_', 1)) t(scanned, n)",
 }
 
 
