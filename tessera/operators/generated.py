@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexer, sql
 from tessera.plans import tables
+from tessera.sources import files
+from tessera.streaming import text
+
+from .folders import own_folder
 
 GROUP = 10
 PLACES = {"k": "c_custkey", "j": "c_custkey + 1", "g": f"c_custkey // {GROUP}", "m": "c_custkey % 7 + 2"}
@@ -754,6 +758,35 @@ def format_sql_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (sql.format_column(F.col("output"))["output"] == F.col("output")).alias("stable"))
 
 
+def format_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scripts as a stream of files, laid out by a streaming query that takes what is there."""
+    folder = own_folder(spark)
+    rows = scripts(spark, sf_dir)
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    text.to_folder(text.format_stream(stream), f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("path", "output", "error", "changed")
+
+
+def plan_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures as a stream, and the nodes of each."""
+    folder = own_folder(spark)
+    rows = captures(spark, sf_dir)
+    rows.write.parquet(f"{folder}/in")
+    stream = tables.plan_nodes(text.plan_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")))
+    text.to_folder(stream.select("plan_id", "node_id", "type", "relation"), f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred scripts a file, read back whole, split into statements again."""
+    folder = own_folder(spark)
+    rows = scripts(spark, sf_dir).filter(F.col("text").isNotNull()).groupBy(F.floor(F.col("path") / 100).alias("file"))
+    rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n").alias("text")).write.partitionBy("file").text(f"{folder}/scripts")
+    found = files.read_sql_files(spark, f"{folder}/scripts", "*.txt")
+    return sql.statement_rows(found).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def format_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that can't be read have an error with its line, and no output."""
     broken = ["select\n'open {k}", 'select "open {k}', "select 1 /* open /* {k} */", "select\n\n$a$ open {k} $b$", None, "", "select 'it''s {k}'", "-- only a note {k}", ";", "select E'\\\\' || '{k}'"]
@@ -787,6 +820,7 @@ _RX = lexer.NATIVE_TOKEN.replace("'", "''")
 _SCRIPT_TEXT = "case c_custkey % 10 " + " ".join(f"when {i} then {cell(x)}" for i, x in enumerate(SCRIPTS)) + " end"
 SCRIPT_ORACLES |= {
     "format_sql_corpus": expected("path output error changed stable", [[(x, None, True, True)] for x in LAID_OUT]),
+    "format_streamed": expected("path output error changed", [[(x, None, True)] for x in LAID_OUT]),
     "format_errors": expected("path output error changed", [
         [(None, "unterminated string literal at line 2", None)], [(None, "unterminated quoted identifier at line 1", None)], [(None, "unterminated block comment at line 1", None)],
         [(None, "unterminated dollar-quoted string at line 3", None)], [(None, None, None)], [("", None, "false")], [("select 'it''s {k}'\n", None, "true")], [("-- only a note {k}\n", None, "true")],
@@ -807,7 +841,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         plans, plan_nodes, plan_props, plan_advice, plan_advice_canonical, plan_advice_blocks, plan_diff, plan_same_structure, plan_unified_diff, plan_json, plan_reflow, has_plan,
-        sql_tokens, statement_kinds, script_statements, statements_native, format_sql_corpus, format_errors, split_dollar_quoted, unified_diff_text,
+        sql_tokens, statement_kinds, script_statements, statements_native, format_sql_corpus, format_streamed, plan_streamed, files_on_disk, format_errors, split_dollar_quoted, unified_diff_text,
     )
 }
+SCRIPT_ORACLES["plan_streamed"] = expected("plan_id node_id type relation", [[(n[0], n[3], n[6]) for n in some] for some in NODES])
+SCRIPT_ORACLES["files_on_disk"] = f"select kind, count(*) as n from ({SCRIPT_ORACLES['script_statements']}) group by kind"
 ORACLES = PLAN_ORACLES | SCRIPT_ORACLES

@@ -9,14 +9,14 @@ left behind and Catalyst sees the scan.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folders import own_folder
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -336,15 +336,10 @@ def _written(session: SparkSession, create: str, *more: str, then: str) -> DataF
     """A query over a table {t} that the texts create and fill. Its files lie in a folder of
     their own that all executors share (a local session without one: a temporary one);
     its name is dropped again, the files stay for the query."""
-    sc = session.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or session.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tessera-")
-    name = f"tessera_{uuid.uuid4().hex}"
+    folder = own_folder(session)
+    name = folder.rsplit("/", 1)[1]
     for text in (create, *more):
-        session.sql(text.replace("{t}", name).replace("{at}", f"using parquet location '{shared.rstrip('/')}/{name}'"))
+        session.sql(text.replace("{t}", name).replace("{at}", f"using parquet location '{folder}'"))
     out = session.sql(then.replace("{t}", name))
     out.schema  # noqa: B018 (analysed now)
     session.sql(f"drop table {name}")
