@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexer, sql
-from tessera.plans import tables
+from tessera.plans import tables, vocab
 from tessera.sources import files
 from tessera.streaming import text
 
@@ -415,6 +415,29 @@ union all select c_custkey, concat('--- before', chr(10), '+++ after', chr(10),
 }
 
 
+#: Every spelling of a node, a row each in turn; each third one runs in parallel.
+SPELLINGS = sorted({x for spellings in vocab.NODE_SPELLINGS.values() for x in spellings} | {f"{j} {how} Join" for j in ("Hash", "Merge", "Nested Loop") for how in vocab.JOIN_VARIANTS} | {"SetOp Intersect All", "HashSetOp Except", "Frobnicate"})
+
+
+def plan_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.from_json(F.lit(json.dumps(SPELLINGS)), "array<string>")
+    spelled = F.get(names, (F.col("k") % len(SPELLINGS)).cast("int"))
+    line = F.concat(F.lit(" "), F.when(F.col("k") % 3 == 0, "Parallel ").otherwise(""), spelled, F.when(F.col("k") % 2 == 0, filled(" on t{k}")).otherwise(""), filled("  (cost=0.00..{k}.50 rows={m} width=4)"))
+    rows = tables.parse_plans(customers(spark, sf_dir).select(F.col("k").alias("plan_id"), line.alias("text")))
+    return tables.plan_nodes(rows).select("plan_id", "type", F.array_join("prefixes", " ").alias("prefixes"), "relation", "cost_end", "rows_est")
+
+
+#: Types follow from spellings: words parted by -, in lower case; what else there is stands in the CASE.
+PLAN_ORACLES["plan_node_types"] = f"""
+with s as (select c_custkey as k, [{', '.join(f"'{x}'" for x in SPELLINGS)}][c_custkey % {len(SPELLINGS)} + 1] as s from customer)
+select k as plan_id, case when s = 'Frobnicate' then 'unknown' when s = 'Material' then 'materialize' when s = 'WorkTable Scan' then 'worktable-scan' when s like '%SetOp%' or s = 'Set Op' then 'set-op'
+         when s like 'Hash % Join' then 'hash-join' when s like 'Merge % Join' then 'merge-join' when s like 'Nested Loop%' then 'nested-loop'
+         else lower(replace(regexp_replace(regexp_replace(s, ' Backward$', ''), '([a-z])([A-Z])', '\\1-\\2', 'g'), ' ', '-')) end as type,
+       case when k % 3 = 0 then 'Parallel' else '' end as prefixes, case when k % 2 = 0 and s <> 'Frobnicate' then 't' || k end as relation,
+       cast(k || '.50' as double) as cost_end, cast(k % 7 + 2 as bigint) as rows_est
+  from s"""
+
+
 # Scripts -----------------------------------------------------------------------------------
 
 #: Tokens as they are to be read: (kind, text).
@@ -840,7 +863,7 @@ select path, cast(stmt_no as int) as stmt_no, count(*) as n_tokens, cast(max(dep
 QUERIES = {
     f.__name__: f
     for f in (
-        plans, plan_nodes, plan_props, plan_advice, plan_advice_canonical, plan_advice_blocks, plan_diff, plan_same_structure, plan_unified_diff, plan_json, plan_reflow, has_plan,
+        plans, plan_nodes, plan_props, plan_advice, plan_advice_canonical, plan_advice_blocks, plan_diff, plan_same_structure, plan_unified_diff, plan_json, plan_reflow, has_plan, plan_node_types,
         sql_tokens, statement_kinds, script_statements, statements_native, format_sql_corpus, format_streamed, plan_streamed, files_on_disk, format_errors, split_dollar_quoted, unified_diff_text,
     )
 }
