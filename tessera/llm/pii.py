@@ -207,6 +207,14 @@ PART = "struct<kind:string,normal:string>"
 MENTION = f"array<struct<kind:string,entity:string,parts:array<{PART}>>>"
 
 
+def may_have(text: Column) -> Column:
+    """Does a text have what every match has: a digit, an @, or a title?"""
+    out = text.rlike("[0-9@]")
+    for word in sorted({w for words in TITLES.values() for w in words}):
+        out = out | text.contains(word)
+    return out
+
+
 def mentions(text: Column) -> Column:
     """Array of (kind, entity, parts) in text order; parts are what surrogates are made for."""
 
@@ -217,7 +225,8 @@ def mentions(text: Column) -> Column:
 
         return let(kind_of(e), parts)
 
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), described).cast(MENTION)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), described).cast(MENTION)
+    return F.when(may_have(text), found).otherwise(F.array().cast(MENTION))
 
 
 def pattern_of(found: Column) -> Column:
@@ -299,10 +308,11 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, found: str | No
     """
     if found:
         docs = without(docs, [found])
-    # Found once and written; texts are told apart by digest, so no row id is needed.
+    # Texts are told apart by digest, so no row id is needed.
     rows = docs.withColumn("__pii_m", mentions(text_of(text))).withColumn("__pii_m", all_mentions(text_of(text), F.col("__pii_m")))
-    rows = staged(rows.withColumn("__pii_id", F.when(F.size("__pii_m") > 0, F.sha2(text_of(text), 256))), "pii-rows")
-    listed = rows.filter("__pii_id is not null").select("__pii_id", F.explode(F.array_distinct(F.flatten(F.col("__pii_m.parts")))).alias("part")).select("__pii_id", "part.kind", "part.normal")
+    rows = rows.withColumn("__pii_id", F.when(F.size("__pii_m") > 0, F.sha2(text_of(text), 256)))
+    listed = rows.filter("__pii_id is not null").select("__pii_id", F.explode(F.array_distinct(F.flatten(F.col("__pii_m.parts")))).alias("part"))
+    listed = staged(listed.select("__pii_id", "part.kind", "part.normal"), "pii-mentions")
     entities = staged(listed.select("kind", "normal").distinct(), "pii-entities")
     later = staged(later_attempts(entities, key), "pii-later")
 
