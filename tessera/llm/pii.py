@@ -268,7 +268,6 @@ def later_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     Surrogates and entities meet in one aggregate. In further rounds the few that move
     are compared with all that was given out before, which they are sent to.
     """
-    spark = entities.sparkSession
     own = _digest(F.col("kind"), F.col("normal"))
 
     def tried(rows: DataFrame) -> DataFrame:
@@ -291,7 +290,7 @@ def later_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         settled = kept if settled is None else settled.unionByName(kept)
         given = given.unionByName(now.select("kind", "made"))
         moving = now.filter("not stays").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
-    return settled if settled is not None else spark.createDataFrame([], "kind string, normal string, attempt int")
+    return settled if settled is not None else first.filter("false").select("kind", "normal", "attempt")
 
 
 LATER = "array<struct<kind:string,normal:string,attempt:int>>"
