@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexer, sql
 from tessera.plans import tables, vocab
+from tessera.shipping import spread
 from tessera.sources import files
 from tessera.streaming import text
 
@@ -29,7 +30,7 @@ _PLACE = re.compile(r"\{([kjgm])\}")
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("bigint")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("k"), (k + 1).alias("j"), F.floor(k / GROUP).cast("bigint").alias("g"), (k % 7 + 2).alias("m"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")).select(k.alias("k"), (k + 1).alias("j"), F.floor(k / GROUP).cast("bigint").alias("g"), (k % 7 + 2).alias("m"))
     return rows.withColumn("t", (F.col("k") % GROUP).cast("int"))
 
 

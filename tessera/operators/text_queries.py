@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexer, sql
+from tessera.shipping import spread
 
 from . import generated
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", F.size(lexer.native_tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
 def keyword_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exploded in the scan's stage and pre-aggregated there; only words are shuffled."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     words = docs.select(F.explode(lexer.native_tokens(F.col("text"))).alias("t")).filter(lexer.native_kind(F.col("t")) == "keyword")
     return words.groupBy(F.lower("t").alias("keyword")).agg(F.count("*").alias("n"))
 
@@ -35,7 +36,7 @@ def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout of any text changes white space and case only; what can't be lexed has an error and no output."""
-    rows = sql.format_corpus(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = sql.format_corpus(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
     def squeezed(c: str):
         return F.lower(F.regexp_replace(c, r"\s", ""))

@@ -1,4 +1,5 @@
-"""The package as a zip for Python workers that have no path to it."""
+"""What is sent to workers: the package as a zip, for those that have no path to it, and the
+rows of a table too small to have a part for each core."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,10 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files in as many parts as there are cores. One with as many already, as any
+    large table has, is left as it is, so no large table is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if not scan.isStreaming and scan.rdd.getNumPartitions() < cores else scan
