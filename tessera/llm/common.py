@@ -9,7 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.shipping import ship
+from tessera import shipping
+from tessera.shipping import spread
 
 __all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "documents", "forget", "let", "partitions", "shared_dir", "ship", "small", "staged", "text_of", "without", "word_count"]
 
@@ -17,12 +18,26 @@ __all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "documents", "forget", "let", "par
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A side is broadcast only if it was counted and has no more rows than this.
+#: A side is broadcast only if it was counted and has no more rows than this; one of numbers
+#: only, no more than BROADCAST_IDS numbers.
 BROADCAST_ROWS = 50_000
+BROADCAST_IDS = 1_000_000
+
+
+#: Rows that go to a Python worker at once. Spark's default of 10,000 whole texts takes too much
+#: memory beside the executor's heap.
+BATCH_ROWS, BATCH_KEY = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to workers, and small batches from now on, where nobody chose others."""
+    shipping.ship(spark)
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_of(name: str = "text") -> Column:
@@ -97,7 +112,9 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small, else as it is
     (then Spark shuffles, and AQE splits skewed partitions)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    kinds = [t for _, t in df.dtypes]
+    most = BROADCAST_IDS // len(kinds) if set(kinds) <= {"bigint", "int"} else BROADCAST_ROWS
+    return F.broadcast(df) if n <= most else df
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, staged
 
 #: Rounds after which something is wrong: they grow with the logarithm of a component's width.
 MOST_ROUNDS = 60
@@ -30,7 +30,8 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
-        e = staged(small, "links")
+        last, e = e, staged(small, "links")
+        forget(last)
         # xxhash64 of the link set: order-free, two sums.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -40,4 +41,6 @@ def connected(links: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     labels = e.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
-    return staged(labels.unionByName(roots), "labels")
+    out = staged(labels.unionByName(roots), "labels")
+    forget(e)
+    return out

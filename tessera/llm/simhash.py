@@ -1,10 +1,12 @@
 """Operator 8: SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints are reduced to distinct ones first, so copies cost nothing further. Two
-fingerprints that differ in at most three bits agree in one of their four 16-bit
-quarters: each fingerprint is dealt to four groups, one a quarter, with that quarter
-rotated to the top. A group larger than BLOCK fingerprints is parted into blocks and
-the pairs of blocks become tasks of their own, so no task grows with a hot group.
+Fingerprints are reduced to distinct ones first, so copies cost nothing further. Of n
+parts of two fingerprints that differ in at most three bits, n - 3 agree: each
+fingerprint is dealt to a group for every choice of n - 3 parts, with these on top. There
+are four such groups for four parts (16 bits), ten for five (25 bits) and so on; as many
+parts are taken as the number of fingerprints asks for, so that groups stay small. A
+group larger than BLOCK fingerprints is parted into blocks and the pairs of blocks become
+tasks of their own, so no task grows with a hot group.
 
 Within a task the rotated fingerprints are sorted by Gray rank. Neighbours in that
 order share long bit patterns, so every run of FANOUT entries has an upper node with
@@ -18,6 +20,8 @@ fingerprint to the smallest one of its component, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ship, small, staged, text_of
+from .common import documents, forget, ship, small, staged, text_of
 from .components import connected
 
 BITS = 3
@@ -34,7 +38,6 @@ SEED = 42
 #: Distinct fingerprints of a group that one task compares.
 BLOCK = 20_000
 FANOUT = 8
-QUARTERS = 4
 
 #: Near copies of 0.8 and more (five-word shingles) differ in about 0.15 of their bits, far more
 #: than three of 64. The pipeline's stage therefore takes WORDS fingerprints of different
@@ -46,6 +49,8 @@ TURNS = 8
 WORD_BITS = 24
 WIDE_BITS = 120
 LIKE = 0.8
+#: Characters of a group's texts that one task compares.
+BLOCK_CHARS = 16_000_000
 
 def words_of(text: str) -> list[str]:
     """Words of the contract's pattern; str.split() would also part them at other spaces."""
@@ -94,6 +99,49 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return docs.select(F.col(doc_id).alias("doc_id"), fp(text_of(text)).alias("fp"))
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Fingerprints cut into n parts; a table for each choice of n - BITS of them."""
+
+    n: int
+
+    @property
+    def parts(self) -> list[tuple[int, int]]:
+        """(lowest bit, bits) of each part, from the top."""
+        ends = [64 * i // self.n for i in range(self.n + 1)]
+        return [(64 - e, e - s) for s, e in zip(ends, ends[1:], strict=False)]
+
+    @property
+    def tables(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(self.n), self.n - BITS))
+
+    def key_bits(self, table: int) -> int:
+        return sum(self.parts[i][1] for i in self.tables[table])
+
+    def key(self, fp: Column, table: int) -> Column:
+        """The parts that a table chooses, as one number."""
+        out = F.lit(0).cast("bigint")
+        for i in self.tables[table]:
+            low, bits = self.parts[i]
+            part = F.call_function("shiftrightunsigned", fp, F.lit(low)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+            out = F.call_function("shiftleft", out, F.lit(bits)).bitwiseOR(part)
+        return out
+
+    def permuted(self, fp: np.ndarray, table: int) -> np.ndarray:
+        """uint64 fingerprints with the parts that a table chooses on top."""
+        chosen = self.tables[table]
+        out = np.zeros_like(fp)
+        for i in (*chosen, *(i for i in range(self.n) if i not in chosen)):
+            low, bits = self.parts[i]
+            out = (out << np.uint64(bits)) | ((fp >> np.uint64(low)) & np.uint64((1 << bits) - 1))
+        return out
+
+
+def layout_for(n: int, block: int = BLOCK) -> Layout:
+    """The fewest parts with which groups of n fingerprints have `block` on average at most."""
+    return next(x for x in map(Layout, range(BITS + 1, 9)) if x.n == 8 or n <= block << min(x.key_bits(t) for t in range(len(x.tables))))
+
+
 def rotated(fp: np.ndarray, part: int, width: int = 16) -> np.ndarray:
     """uint64 fingerprints turned by parts of `width` bits; a quarter's 16 bits come on top."""
     turn = np.uint64(width * part)
@@ -121,6 +169,12 @@ class _Sets:
                 return self.up
             self.up = nxt
 
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = int(self.up[i])
+        return i
+
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Unites the ends of all links: the smallest root wins until nothing changes."""
         while len(a):
@@ -166,20 +220,16 @@ def _children(a: np.ndarray, b: np.ndarray, n_below: int, same: bool) -> tuple[n
     return x[ok], y[ok]
 
 
-def linked(fp: np.ndarray, bits: int = BITS, top: bool = False, also=None, start=None) -> np.ndarray:
+def linked(fp: np.ndarray, bits: int = BITS, top: int = 0, also=None) -> np.ndarray:
     """For distinct uint64 fingerprints: index of the representative of each one's
-    component under links of at most `bits` differing bits. With `top`, only links
-    between fingerprints whose upper 16 bits agree are looked for; `also`, given two
-    arrays of indices, says which of these pairs count (all, if left out); entries that
-    are alike in `start` are one component from the beginning."""
+    component under links of at most `bits` differing bits. Only links between
+    fingerprints whose `top` upper bits agree are looked for; `also`, given two
+    arrays of indices, says which of these pairs count (all, if left out)."""
     order = np.argsort(gray_rank(fp), kind="stable")
     own = fp[order]
     sets = _Sets(len(own))
-    if start is not None:
-        _, first, of = np.unique(start[order], return_index=True, return_inverse=True)
-        sets.join(np.arange(len(own)), first[of])
     if len(own) > 1:
-        limit = ~np.uint64(0) >> np.uint64(16) if top else ~np.uint64(0)
+        limit = ~np.uint64(0) >> np.uint64(top)
 
         def close(diff: np.ndarray) -> np.ndarray:
             return (np.bitwise_count(diff) <= bits) & (diff <= limit)
@@ -224,55 +274,126 @@ def linked(fp: np.ndarray, bits: int = BITS, top: bool = False, also=None, start
     return out
 
 
-def _solve_words(part: pd.DataFrame) -> pd.DataFrame:
+def _solve_words(part: pd.DataFrame, layout: Layout) -> pd.DataFrame:
     out = []
     for q in part["q"].unique():
         fp = np.unique(part.loc[part["q"] == q, "fp"].to_numpy(dtype=np.int64)).view(np.uint64)
-        root = fp[linked(rotated(fp, int(q)), top=True)]
+        root = fp[linked(layout.permuted(fp, int(q)), top=layout.key_bits(int(q)))]
         moved = root != fp
         out.append(pd.DataFrame({"src": fp[moved].view(np.int64), "dst": root[moved].view(np.int64)}))
     return pd.concat(out)
 
 
 def _solve_wide(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows (id, wide, comp) of tasks (q, top, ...), q = TURNS * word + turn -> candidate
-    pairs. Without comp, enough pairs to join all candidates; else all between two comps."""
+    """Rows (id, wide) of tasks (q, top, ...), q = TURNS * word + turn -> pairs that join the
+    same groups as all candidates do."""
     out = [pd.DataFrame({"src": [], "dst": []}, dtype="int64")]
     for q in part["q"].unique():
         rows = part.loc[part["q"] == q].drop_duplicates(["top", "id"])
-        wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), WORDS + 1)[:, :WORDS]
+        wide = _words(rows["wide"])
         ids = rows["id"].to_numpy(dtype=np.int64)
-        comp = None if rows["comp"].isna().any() else rows["comp"].to_numpy(dtype=np.int64)
         word = np.ascontiguousarray(wide[:, int(q) // TURNS])
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def close(a: np.ndarray, b: np.ndarray, wide=wide, comp=comp, pairs=pairs) -> np.ndarray:
-            ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= WIDE_BITS
-            if comp is not None:
-                ok &= comp[a] != comp[b]
-            pairs.append((a[ok], b[ok]))
-            return ok if comp is None else np.zeros(len(a), dtype=bool)
-
-        linked(rotated(word, int(q) % TURNS, 8), bits=WORD_BITS, top=True, also=close, start=comp)
-        for a, b in pairs:
-            out.append(pd.DataFrame({"src": np.maximum(ids[a], ids[b]), "dst": np.minimum(ids[a], ids[b])}))
+        close = lambda a, b, wide=wide: _differing(wide[a], wide[b]) <= WIDE_BITS
+        root = linked(rotated(word, int(q) % TURNS, 8), bits=WORD_BITS, top=16, also=close)
+        # Linked to the group's smallest id, so that many tables give the same links.
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        moved = least[root] != ids
+        out.append(pd.DataFrame({"src": ids[moved], "dst": least[root][moved]}))
     return pd.concat(out)
 
 
+def _words(wide: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(wide), dtype=np.uint64).reshape(len(wide), WORDS + 1)[:, :WORDS]
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
 def likeness(a: str | None, b: str | None, size: int = NEAR_SHINGLE) -> float:
     """Jaccard likeness of the sets of shingles; 1 if both are empty."""
     x, y = set(shingles_of(a or "", size)), set(shingles_of(b or "", size))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles_of(text, NEAR_SHINGLE)), dtype=np.uint64))
+
+
+def _like(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the Jaccard likeness of two such sets LIKE or more?"""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < LIKE * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
+    return both >= LIKE * (len(a) + len(b) - both)
+
+
+def alike(texts: list[str], wide: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same components as all pairs of likeness LIKE do, of texts in one
+    block, or in two: then between these only. Candidates are tried closest first, and
+    only those whose ends aren't joined yet."""
+    across = block.min() != block.max()
+    found = []
+    for at in range(0, len(wide), 256):
+        far = _differing(wide[at : at + 256, None, :], wide[None, :, :])
+        ok = far <= WIDE_BITS
+        ok &= np.arange(len(wide))[None, :] > np.arange(at, at + len(far))[:, None]
+        if across:
+            ok &= block[at : at + 256, None] != block[None, :]
+        x, y = np.nonzero(ok)
+        found.append(np.stack([far[x, y], x + at, y]))
+    far, x, y = np.concatenate(found, axis=1)
+    order = np.argsort(far, kind="stable")
+    sets: dict[int, np.ndarray] = {}
+    up = _Sets(len(wide))
+    out = []
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _shingle_set(texts[i])
+        return sets[i]
+
+    for at in range(0, len(order), 4096):
+        part = order[at : at + 4096]
+        part = part[up.roots()[x[part]] != up.up[y[part]]]
+        for i, j in zip(x[part].tolist(), y[part].tolist(), strict=True):
+            a, b = up.find(i), up.find(j)
+            if a != b and _like(set_of(i), set_of(j)):
+                up.up[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (label, i, j, mine, id, wide, text) sorted by (label, i, j) -> links (src, dst)."""
+    held: list[pd.DataFrame] = []
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        ids = part["id"].to_numpy(dtype=np.int64)
+        pairs = alike(part["text"].tolist(), _words(part["wide"]), part["mine"].to_numpy()) if len(part) > 1 else []
+        return pd.DataFrame([(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in pairs], columns=["src", "dst"], dtype="int64")
+
     for frame in frames:
-        like = [likeness(a, b) >= LIKE for a, b in zip(frame["a"], frame["b"], strict=True)]
-        yield frame[["src", "dst"]].assign(alike=like)
+        if not len(frame):
+            continue
+        key = frame[["label", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            part = frame.iloc[s:e]
+            if held and (held[-1][["label", "i", "j"]].to_numpy()[-1] != key[s]).any():
+                yield solve(pd.concat(held))
+                held = []
+            held.append(part)
+    if held:
+        yield solve(pd.concat(held))
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Entries (id, wide, comp) -> distinct candidate pairs (src, dst)."""
+    """Entries (id, wide) -> pairs (src, dst) that join the same groups as all candidates do."""
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(WORDS * TURNS - 1))))
     # Two neighbouring bytes of the little-endian word, from its top for turn 0.
     word, turn = F.floor(F.col("q") / TURNS) * 8 + 1, F.col("q") % TURNS
@@ -281,31 +402,36 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long").distinct()
 
 
-def _alike_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (src, dst) that join the same components as all candidates of likeness LIKE do."""
-
-    def judged(pairs: DataFrame, label: str) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
-        both = both.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst").select("src", "dst", "a", "b")
-        return staged(both.mapInPandas(_like, "src long, dst long, alike boolean"), label)
-
-    first = judged(staged(_candidates(entries.withColumn("comp", F.lit(None).cast("long"))), "near-pairs"), "near-judged")
-    links = first.filter("alike").select("src", "dst")
-    if first.filter("not alike").isEmpty():
-        return links
-    # A pair that failed may have joined others that are alike: where one did, all pairs between
-    # the components that hold are candidates.
-    group = connected(first.select("src", "dst"))
-    open_ = first.filter("not alike").select(F.col("src").alias("id")).join(group, "id").select("label").distinct()
-    again = group.join(open_, "label").select("id").join(entries, "id")
-    comp = connected(links).withColumnRenamed("label", "comp")
-    again = again.join(comp, "id", "left").select("id", "wide", F.coalesce("comp", "id").alias("comp"))
-    rest = _candidates(again).join(first.select("src", "dst"), ["src", "dst"], "left_anti")
-    more = judged(staged(rest, "near-pairs"), "near-judged")
-    return links.unionByName(more.filter("alike").select("src", "dst"))
+def _alike_links(slim: DataFrame, texts_of, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Links (src, dst) between entries that join the same components as all candidates of
+    likeness LIKE do. slim: (entry, wide, id, row), entries as often as there are copies;
+    texts_of gives (id, row, text) of the rows in a table (id, row, ...), and its other columns.
 
-
-def _links(frames: Iterator[pd.DataFrame], solve=_solve_words) -> Iterator[pd.DataFrame]:
+    Candidates first join entries to groups. Each group's texts, one an entry, then meet in a
+    task, or in one for each pair of blocks if the group is large, and links are checked there.
+    """
+    entries = staged(slim.select(F.col("entry").alias("id"), "wide").distinct(), "near-entries")
+    group = connected(_candidates(entries))
+    # A row of each entry in a group; texts are looked up for these rows only.
+    firsts = slim.join(small(group.select(F.col("id").alias("entry"))), "entry", "left_semi").groupBy("entry").agg(F.min(F.struct("id", "row")).alias("first"))
+    firsts = firsts.join(group.withColumnRenamed("id", "entry"), "entry").select("entry", "label", "first.id", "first.row")
+    firsts = staged(firsts, "near-firsts")
+    texts = texts_of(firsts).groupBy("entry", "label").agg(F.first("text").alias("text"))
+    texts = texts.join(entries.withColumnRenamed("id", "entry"), "entry").withColumnRenamed("entry", "id")
+    texts = staged(texts.select("id", "label", "wide", "text"), "near-texts")
+    forget(entries)
+    forget(firsts)
+    sizes = texts.groupBy("label").agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") > block_chars)
+    rows = texts.join(small(staged(sizes, "near-large")), "label", "left").withColumn("k", F.ceil(F.coalesce("chars", F.lit(1)) / block_chars).cast("int"))
+    rows = _in_pairs(rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))).drop("chars", "k")
+    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    links = staged(rows.select("label", "i", "j", "mine", "id", "wide", "text").mapInPandas(_alike, "src long, dst long"), "near-links")
+    forget(texts)
+    forget(group)
+    return links
+
+
+def _links(frames: Iterator[pd.DataFrame], solve) -> Iterator[pd.DataFrame]:
     """Rows sorted by task (q, top, i, j) -> links (src, dst).
 
     Small groups are solved together, about BLOCK rows at a time and always whole; the
@@ -346,20 +472,24 @@ def _tasks(rows: DataFrame, own: Column, block: int) -> DataFrame:
     """
     sizes = staged(rows.groupBy("q", "top").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot-groups")
     rows = rows.join(small(sizes), ["q", "top"], "left").withColumn("k", F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int"))
-    mine = F.pmod(own, F.col("k")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    rows = rows.withColumn("ij", F.explode(pair)).select("*", F.col("ij.i").alias("i"), F.col("ij.j").alias("j")).drop("ij", "n", "k")
+    rows = _in_pairs(rows.withColumn("mine", F.pmod(own, F.col("k")).cast("int"))).drop("mine", "n", "k")
     return rows.repartition("q", "top", "i", "j").sortWithinPartitions("q", "top", "i", "j")
 
 
-def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Each row (block `mine` of `k`) once for every block: pairs (i, j) of its own and that one."""
+    mine = F.col("mine")
+    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    return rows.withColumn("ij", F.explode(pair)).select("*", F.col("ij.i").alias("i"), F.col("ij.j").alias("j")).drop("ij")
+
+
+def near_links(distinct: DataFrame, block: int = BLOCK, layout: Layout | None = None) -> DataFrame:
     """Links (src, dst) between distinct fingerprints (column fp) that join the same
     components as all pairs with at most BITS differing bits do."""
     ship(distinct.sparkSession)
-    q = F.explode(F.sequence(F.lit(0), F.lit(QUARTERS - 1))).alias("q")
-    top = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("fp"), 16 * F.col("q")), F.lit(48)).cast("int")
-    rows = distinct.select("fp", q).withColumn("top", top)
-    return _tasks(rows, F.xxhash64("fp"), block).mapInPandas(_links, "src long, dst long")
+    layout = layout or layout_for(distinct.count(), block)
+    keys = F.posexplode(F.array(*[layout.key(F.col("fp"), t) for t in range(len(layout.tables))])).alias("q", "top")
+    return _tasks(distinct.select("fp", keys), F.xxhash64("fp"), block).mapInPandas(lambda frames: _links(frames, lambda part: _solve_words(part, layout)), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -375,9 +505,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     label = connected(near_links(distinct.select("fp")))
     found = distinct.join(label.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = found.groupBy("label").agg(F.min("least").alias("component_id"))
-    # Written, so that the last join's sides are plain shuffles: AQE then splits the rows of a
-    # fingerprint that very many copies share.
+    found = staged(found, "simhash-labels")
+    least = staged(found.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-least")
+    # All written, so that the joins' sides are plain shuffles: AQE then splits the rows of a
+    # component, or of a fingerprint, that very many share.
     classes = staged(found.select("fp", "label").join(least, "label").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -421,19 +552,28 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    slim = staged(docs.select(F.col(doc_id).alias("id"), row.alias("row"), wide(text_of(text)).alias("wide"), text_of(text).alias("text")), "near-wide")
+    slim = docs.select(F.col(doc_id).alias("id"), row.alias("row"), wide(text_of(text)).alias("wide"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        rows = docs.select(F.col(doc_id).alias("id_"), row.alias("row_"), text_of(text).alias("text"))
+        return rows.join(small(wanted), F.col("id_").eqNullSafe(F.col("id")) & (F.col("row_") == F.col("row")))
+
     # Copies meet first: one entry for each set of shingles, numbered by a hash.
-    entry = F.xxhash64("wide").alias("id")
-    distinct = staged(slim.select("wide").distinct().select(entry, "wide"), "near-entries")
-    texts = slim.select(entry, "text").dropDuplicates(["id"])
-    links = _alike_links(distinct, texts)
+    slim = staged(slim.withColumn("entry", F.xxhash64("wide")), "near-wide")
+    links = _alike_links(slim, texts_of)
     label = connected(links)
-    rows = slim.select(entry.alias("entry"), F.col("id"), "row").join(label.select(F.col("id").alias("entry"), "label"), "entry", "left")
+    rows = slim.select("entry", "id", "row").join(label.select(F.col("id").alias("entry"), "label"), "entry", "left")
     rows = staged(rows.select(F.coalesce("label", "entry").alias("label"), "id", "row"), "near-rows")
-    keepers = rows.groupBy("label").agg(F.min(key).alias("keep"))
-    # Distinct kinds of rows by (id, row): those that go, and those of which several stay.
-    kinds = rows.groupBy("label", "id", "row").agg(F.count("*").alias("n")).join(keepers, "label").select("id", "row", "n", (key == F.col("keep")).alias("stays"))
+    for done in (slim, links, label):
+        forget(done)
+    keepers = staged(rows.groupBy("label").agg(F.min(key).alias("keep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "near-keepers")
+    # Distinct kinds of rows by (id, row): those that go, and those of which several stay. Both sides
+    # are written, so that the join's are plain shuffles and AQE can split a large group.
+    counts = staged(rows.groupBy("label", "id", "row").agg(F.count("*").alias("n")), "near-counts")
+    kinds = counts.join(small(keepers), "label").select("id", "row", "n", (key == F.col("keep")).alias("stays"))
     kinds = staged(kinds.filter("not stays or n > 1").groupBy("id", "row").agg(F.max("stays").alias("stays")), "near-kinds")
+    for done in (rows, keepers, counts):
+        forget(done)
     names = [f"`{c}`" for c in docs.columns]
     marked = docs.withColumn("__near_row", row)
     marked = marked.join(small(kinds.select(F.col("id").alias("__near_id"), F.col("row").alias("__near_r"), F.col("stays").alias("__near_stays"))), F.col(doc_id).eqNullSafe(F.col("__near_id")) & (F.col("__near_row") == F.col("__near_r")), "left")

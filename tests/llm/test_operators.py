@@ -695,8 +695,9 @@ def test_groups_of_near_copies_equal_brute_force(spark, block_chars):
     rng.shuffle(texts)
     want = closure(texts)
     assert len(texts) > 2 * len(set(want)) > 60
-    rows = spark.createDataFrame([(i, bytearray(simhash.wide_simhash(t)), t) for i, t in enumerate(texts)], "entry bigint, wide binary, text string")
-    label = {r.id: r.label for r in components.connected(simhash._alike_links(rows, block_chars)).collect()}
+    rows = spark.createDataFrame([(i, bytearray(simhash.wide_simhash(t)), i, i, t) for i, t in enumerate(texts)], "entry bigint, wide binary, id bigint, row bigint, text string")
+    texts_of = lambda wanted: wanted.join(rows.select("id", "text"), "id")
+    label = {r.id: r.label for r in components.connected(simhash._alike_links(rows.drop("text"), texts_of, block_chars)).collect()}
     assert [label.get(i, i) for i in range(len(texts))] == want
 
 
