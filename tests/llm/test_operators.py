@@ -306,6 +306,28 @@ def test_passage_whose_parts_have_earlier_owners_is_found(spark):
     assert {(r.doc_id, r.ref_id, r.start_word, r.end_word, r.ref_start, r.ref_end) for r in got} == want
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_changed_passage_whose_seeds_have_earlier_owners_is_found(spark, copies):
+    """Earlier documents hold its halves, its runs of four words, or (many of them) quotations of 25 words."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for kind in ("halves", "runs", "quotations") * 10:
+        passage = fresh(60)
+        copy = [fresh(1)[0] if k % 7 == 3 else w for k, w in enumerate(passage)]
+        parts = {
+            "halves": [copy[:30], copy[30:]],
+            "runs": [sum((copy[k : k + 4] + fresh(6) for k in range(at, 57, 4)), []) for at in range(4)],
+            "quotations": [copy[at : at + 25] for at in (0, 5, 12, 20, 30, 35)],
+        }[kind]
+        rows += [(len(rows) + k, " ".join(fresh(30) + part + fresh(30))) for k, part in enumerate([*parts * copies, passage, copy])]
+        kinds[len(rows) - 1] = kind
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.share >= 0.8 for r in got)
+    found = Counter(kinds[i] for i in {r.doc_id for r in got if r.doc_id in kinds and r.ref_id == r.doc_id - 1 and r.agreeing >= 42})
+    assert all(found[k] >= 9 for k in kinds.values()), found
+
+
 def test_changed_passages_are_found(spark):
     rng = random.Random(22)
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
