@@ -399,7 +399,18 @@ def _candidates(rows: DataFrame) -> DataFrame:
     word, turn = F.floor(F.col("q") / TURNS) * 8 + 1, F.col("q") % TURNS
     byte = lambda at: F.substr("wide", (word + at).cast("int"), F.lit(1))
     top = F.conv(F.hex(F.concat(byte(7 - turn), byte((14 - turn) % 8))), 16, 10).cast("int")
-    return _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long").distinct()
+    return _tasks(rows.withColumn("top", top), F.col("id"), BLOCK).mapInPandas(_wide_links, "src long, dst long").transform(_fewer)
+
+
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links (src, dst), dst < src, that join the same components: of those from a row, the
+    one to its smallest dst stays, and the other dsts are linked to that. So the many tables
+    of _candidates, each of which links a row to one other at most, give about a link a row
+    before any join."""
+    rows = links.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dst"))
+    least = F.get("dst", F.lit(0))
+    pairs = F.transform("dst", lambda x: F.struct(F.when(x == least, F.col("src")).otherwise(x).alias("src"), least.alias("dst")))
+    return rows.select(F.explode(pairs).alias("x")).select("x.src", "x.dst").distinct()
 
 
 def _alike_links(slim: DataFrame, texts_of, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -723,6 +723,30 @@ def test_groups_of_near_copies_equal_brute_force(spark, block_chars):
     assert [label.get(i, i) for i in range(len(texts))] == want
 
 
+def test_candidates_of_a_large_group_are_about_a_link_a_text(spark):
+    rng = random.Random(78)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    wide = []
+    for _ in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        wide.append(simhash.wide_simhash(" ".join(copy)))
+    ids = rng.sample(range(10**6), 300)
+    links = simhash._candidates(spark.createDataFrame([(i, bytearray(w)) for i, w in zip(ids, wide, strict=True)], "id bigint, wide binary")).cache()
+    label = {r.id: r.label for r in components.connected(links).collect()}
+    assert set(label) == set(ids) and set(label.values()) == {min(ids)}
+    assert links.count() <= 2 * len(ids)
+
+
+def test_fewer_links_join_the_same_components(spark):
+    rng = random.Random(79)
+    links = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(300)) if a != b]
+    rows = spark.createDataFrame(links, "src bigint, dst bigint")
+    want, got = ({r.id: r.label for r in components.connected(x).collect()} for x in (rows, simhash._fewer(rows)))
+    assert got == want
+
+
 def test_near_duplicates_of_the_pipeline(spark):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(3000)]
