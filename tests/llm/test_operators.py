@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +346,53 @@ def test_changed_passages_are_found(spark):
     assert found[60, 0.82] >= 14 and all(found[k] >= 18 for k in kinds.values() if k != (60, 0.82)), found
 
 
+def aligned(texts, pairs):
+    """Rows of passages of pairs (text, other, anchors of one-anchor chains), and how many were aligned."""
+    frame = pd.DataFrame([(i, -1 - i, np.array(p), np.array(r), np.ones(len(p), dtype=int), texts[a], texts[b]) for i, (a, b, p, r) in enumerate(pairs)], columns=["doc", "ref", "p", "r", "n", "a", "b"])
+    calls, align = [], passages.align
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(passages, "align", lambda *x: (calls.append(1), align(*x))[1])
+        found = pd.concat(passages._aligned(iter([frame])))
+    return sorted(tuple(map(str, x)) for x in found.itertuples(index=False)), len(calls)
+
+
+def test_chains_too_short_for_a_passage_are_not_aligned():
+    rng = random.Random(31)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    run, passage = fresh(8), fresh(60)
+    a, b = fresh(30) + run + fresh(30) + passage, fresh(50) + run + fresh(30) + passage
+    found, calls = aligned([" ".join(a), " ".join(b)], [(0, 1, [30, 34], [50, 54]), (0, 1, [80], [100])])
+    assert calls == 1 and [x[:3] for x in found] == [("1", "68", "128")]
+
+
+def test_chains_left_out_hold_no_passage(monkeypatch):
+    """Texts of few words, of which parts are alike at many places, with and without the shortcut."""
+    rng = random.Random(32)
+    texts, pairs = [], []
+    for _ in range(150):
+        rate = rng.choice([0.05, 0.15, 0.2, 0.5])
+        words = [f"w{rng.randrange(rng.choice([3, 30, 300]))}" for _ in range(rng.randrange(45, 90))]
+        other = [w if rng.random() > rate else rng.choice(words) if rng.random() < 0.2 else f"x{k}" for k, w in enumerate(words)][rng.randrange(3) :]
+        same = [(i, j) for i in range(len(words) - 3) for j in range(len(other) - 3) if words[i : i + 4] == other[j : j + 4]]
+        if same:
+            same = sorted(rng.sample(same, min(len(same), 6)))
+            pairs.append((len(texts), len(texts) + 1, *zip(*same, strict=True)))
+            texts += [" ".join(words), " ".join(other)]
+    short = aligned(texts, pairs)
+    monkeypatch.setattr(passages, "may_be_passage", lambda h, a, b, first, last: np.ones(len(first), dtype=bool))
+    full = aligned(texts, pairs)
+    assert short[0] == full[0] and len(full[0]) > 20 and short[1] < full[1]
+
+
+def test_packed_rows_are_read_again():
+    rng = np.random.default_rng(33)
+    tables = [{"h": rng.integers(-(2**62), 2**62, n), "doc": rng.integers(0, 99, n), "p": rng.integers(0, 9, n).astype(np.int32), "c": rng.integers(-9, 9, n).astype(np.int32), "many": rng.random(n) < 0.5} for n in (0, 5, 1, 300)]
+    none = {k: np.empty(0, dtype=t) for k, t in passages._DONE.items()}
+    rows, done = passages.unpacked([passages.packed(t, none) for t in tables], passages._ROW, passages._DONE)
+    assert all(np.array_equal(rows[k], np.concatenate([t[k] for t in tables])) for k in rows) and not len(done["h"])
+    assert not list(passages._by_document(iter([{k: np.empty(0, dtype=t) for k, t in passages._LINK.items()}]), passages._LINK, 8))
+
+
 def test_seed_of_equal_stretches():
     rng = random.Random(6)
     shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(passages.K + passages.W - 1))
