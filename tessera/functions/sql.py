@@ -5,11 +5,13 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.arrays import chunked, fields_of, lists, unrolled
 from tessera.shipping import ship
 
 from . import lexer
@@ -59,41 +61,49 @@ def unified_diff(before: Column, after: Column) -> Column:
     return _diff(before, after)
 
 
-def _lexed(text: str | None) -> dict:
+def _lexed(text: str | None) -> tuple[list[tuple] | None, str | None]:
+    """(tokens, error); a token's values are in the order of TOKENS."""
     if text is None:
-        return {"tokens": None, "error": None}
+        return None, None
     try:
         tokens, rest = lexer.attach(lexer.lex(text))
     except lexer.LexError as e:
-        return {"tokens": None, "error": str(e)}
+        return None, str(e)
     out, n = [], 0
     for k, statement in enumerate(lexer.statements(tokens)):
         for t in statement:
-            out.append({
-                "stmt_no": k, "ord": n, "kind": t.kind, "text": t.text, "lower": t.lower, "line": t.line, "col": t.col, "leading_blank": t.blank_before,
-                "comments": [c.text for c in t.comments], "trailing_comment": t.trailing.text if t.trailing else None,
-            })
+            out.append((k, n, t.kind, t.text, t.lower, t.line, t.col, t.blank_before, [c.text for c in t.comments], t.trailing.text if t.trailing else None))
             n += 1
     for c in rest:
-        out.append({"stmt_no": -1, "ord": n, "kind": c.kind, "text": c.text, "lower": c.lower, "line": c.line, "col": c.col, "leading_blank": c.blank_before, "comments": [], "trailing_comment": None})
+        out.append((-1, n, c.kind, c.text, c.lower, c.line, c.col, c.blank_before, [], None))
         n += 1
-    return {"tokens": out, "error": None}
+    return out, None
 
 
-def lexed(text: Column) -> Column:
-    """struct<tokens, error> by the exact lexer."""
+#: Texts whose tokens are held as Python objects at a time.
+CHUNK = 500
+LEXED = f"tokens {TOKENS}, error string"
+
 
-    @F.udf(f"tokens {TOKENS}, error string", useArrow=True)
-    def one(t: str | None):
-        return _lexed(t)
+def _lexed_chunk(texts: list[str | None], kind: pa.StructType) -> pa.StructArray:
+    read = [_lexed(t) for t in texts]
+    return pa.StructArray.from_arrays([lists([r[0] for r in read], kind.field("tokens").type), pa.array([r[1] for r in read], pa.string())], fields=list(kind))
 
-    return one(text)
+
+@F.arrow_udf(fields_of(LEXED))
+def _lex_texts(texts: pa.Array) -> pa.Array:
+    return chunked(texts, CHUNK, _lexed_chunk, LEXED)
+
+
+def lexed(text: Column) -> Column:
+    """struct<tokens, error> by the exact lexer."""
+    return _lex_texts(text)
 
 
 def sql_tokens(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(key, stmt_no, ord, kind, text, ...), one row a token; comments hang on tokens."""
     ship(files.sparkSession)
-    return files.select(key, lexed(F.col(text)).alias("x")).select(key, F.inline("x.tokens"))
+    return unrolled(files.select(key, lexed(F.col(text)).alias("x")), [key], "x.tokens", "ord")
 
 
 def native_token_rows(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -123,7 +133,7 @@ def statement_rows(files: DataFrame, key: str = "path", text: str = "text") -> D
         ]
 
     ship(files.sparkSession)
-    return files.select(key, F.inline(kinds(F.col(text))))
+    return unrolled(files.select(key, kinds(F.col(text)).alias("x")), [key], "x", "stmt_no")
 
 
 @F.pandas_udf(T.StructType([T.StructField("delimiter", T.StringType()), T.StructField("body", T.StringType())]))
