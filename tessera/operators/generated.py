@@ -246,8 +246,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select(F.col("k").alias("plan_id"), by_remainder(CAPTURES).alias("text"))
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.parse_plans(captures(spark, sf_dir))
+def parsed(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return tables.parse_plans(captures(spark, sf_dir), parts=parts)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,35 +262,35 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.plan_nodes(parsed(spark, sf_dir)).withColumn("prefixes", F.array_join("prefixes", " "))
+    rows = tables.plan_nodes(parsed(spark, sf_dir, "nodes")).withColumn("prefixes", F.array_join("prefixes", " "))
     return rows.select("plan_id", "node_id", "parent_id", "depth", "type", "prefixes", "label", "relation", "alias", "index_name", "subplan_name", "cost_end", "rows_est", "rows_actual", "never_executed")
 
 
 def plan_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.plan_props(parsed(spark, sf_dir))
+    rows = tables.plan_props(parsed(spark, sf_dir, "props"))
     entries = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return rows.select("plan_id", "node_id", "prop_no", "label", "kind", F.array_join(entries, "; ").alias("fields"))
 
 
 def plan_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_advice(parsed(spark, sf_dir)).select("plan_id", "ord", "kind", "line")
+    return tables.plan_advice(parsed(spark, sf_dir, "advice")).select("plan_id", "ord", "kind", "line")
 
 
 def plan_advice_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_advice(parsed(spark, sf_dir), origin="canonical").select("plan_id", "kind", "line")
+    return tables.plan_advice(parsed(spark, sf_dir, "advice"), origin="canonical").select("plan_id", "kind", "line")
 
 
 def plan_advice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.plan_advice(parsed(spark, sf_dir), origin=None)
+    rows = tables.plan_advice(parsed(spark, sf_dir, "advice"), origin=None)
     return rows.filter(F.col("origin").isin("generated", "supplied")).select("plan_id", "origin", "line", "annotation")
 
 
 def plan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.plan_diff(parsed(spark, sf_dir), pairs(spark, sf_dir)).select("pair_id", "kind", "before", "after")
+    return tables.plan_diff(parsed(spark, sf_dir, "advice"), pairs(spark, sf_dir)).select("pair_id", "kind", "before", "after")
 
 
 def plan_same_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.same_structure(parsed(spark, sf_dir), pairs(spark, sf_dir))
+    return tables.same_structure(parsed(spark, sf_dir, "advice"), pairs(spark, sf_dir))
 
 
 def plan_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +424,7 @@ def plan_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.from_json(F.lit(json.dumps(SPELLINGS)), "array<string>")
     spelled = F.get(names, (F.col("k") % len(SPELLINGS)).cast("int"))
     line = F.concat(F.lit(" "), F.when(F.col("k") % 3 == 0, "Parallel ").otherwise(""), spelled, F.when(F.col("k") % 2 == 0, filled(" on t{k}")).otherwise(""), filled("  (cost=0.00..{k}.50 rows={m} width=4)"))
-    rows = tables.parse_plans(customers(spark, sf_dir).select(F.col("k").alias("plan_id"), line.alias("text")))
+    rows = tables.parse_plans(customers(spark, sf_dir).select(F.col("k").alias("plan_id"), line.alias("text")), parts=("nodes",))
     return tables.plan_nodes(rows).select("plan_id", "type", F.array_join("prefixes", " ").alias("prefixes"), "relation", "cost_end", "rows_est")
 
 

@@ -8,9 +8,11 @@ joins. Captures that hold no plan get an error, never an exception.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.arrays import chunked, fields_of, lists, struct_type, unrolled
 from tessera.shipping import ship
 
 from . import advice as _advice
@@ -26,21 +28,21 @@ NODE = (
 )
 PROP = "node_id int, prop_no int, raw string, label string, value string, kind string, fields map<string,string>"
 ADVICE = "ord int, kind string, args array<string>, line string, origin string, annotation string"
-def _struct(ddl: str) -> str:
-    """array<struct<...>> of a column list."""
-    depth, out, start = 0, [], 0
-    for i, c in enumerate(ddl + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            name, _, kind = ddl[start:i].strip().partition(" ")
-            out.append(f"{name}:{kind}")
-            start = i + 1
-    return f"array<struct<{','.join(out)}>>"
-
-
-PARSED = (
-    f"error string, empty boolean, planning_ms double, execution_ms double, extra array<string>, nodes {_struct(NODE)}, props {_struct(PROP)}, advice {_struct(ADVICE)}"
-)
+#: What a capture is read for; a table needs one of these.
+PARTS = ("nodes", "props", "advice")
+
+
+HEAD = "error string, empty boolean, planning_ms double, execution_ms double, extra array<string>"
+_COLUMNS = {"nodes": NODE, "props": PROP, "advice": ADVICE}
+#: Captures whose rows are held as Python objects at a time.
+CHUNK = 500
+
+
+def parsed_type(parts: tuple[str, ...] = PARTS) -> str:
+    return ", ".join([HEAD, *(f"{p} array<struct<{_COLUMNS[p]}>>" for p in PARTS if p in parts)])
+
+
+PARSED = parsed_type()
 
 
 #: Trees of the depth of Python's stack; no server makes one.
@@ -53,51 +55,87 @@ def read_any(text: str) -> Plan:
 
 
 def _row(text: str | None) -> dict:
-    blank = {"error": None, "empty": False, "planning_ms": None, "execution_ms": None, "extra": [], "nodes": [], "props": [], "advice": []}
+    """All that a capture holds, by name."""
+    names = [x.split(" ")[0] for x in HEAD.split(", ")]
+    out = dict(zip([*names, *PARTS], _read(text, PARTS), strict=True))
+    kind = struct_type(PARSED)
+    return out | {p: [dict(zip([f.name for f in kind.field(p).type.value_type], x, strict=True)) for x in out[p]] for p in PARTS}
+
+
+#: Depth from which Python's stack may not do for a plan's decisions.
+DEEP = 100
+
+
+def _read(text: str | None, parts: tuple[str, ...]) -> tuple:
+    """HEAD's values, then the rows of each part; those that aren't asked for are left empty."""
     if text is None:
-        return blank | {"error": "no text"}
+        return "no text", False, None, None, [], (), (), ()
     try:
         plan = read_any(text)
-        decisions = _advice.derive(plan)
+        nodes, props, deepest = _tree_rows(plan, "nodes" in parts, "props" in parts)
+        # A plan whose decisions can't be told has no rows in any table.
+        decisions = _advice.derive(plan) if "advice" in parts or deepest > DEEP else ()
     except PlanError as e:
-        return blank | {"error": str(e)}
+        return str(e), False, None, None, [], (), (), ()
     except RecursionError:
-        return blank | {"error": TOO_DEEP}
-    nodes, props = [], []
+        return TOO_DEEP, False, None, None, [], (), (), ()
+    rows = ()
+    if "advice" in parts:
+        found = [("derived", a) for a in decisions] + [("canonical", _advice.canonical(a)) for a in decisions]
+        found += [("generated", a) for a in plan.generated] + [("supplied", a) for a in plan.supplied]
+        rows = [(i, a.kind, a.args, str(a), o, a.annotation or None) for i, (o, a) in enumerate(found)]
+    return None, plan.empty, plan.planning_ms, plan.execution_ms, plan.extra, nodes, props, rows
+
+
+def _tree_rows(plan: Plan, with_nodes: bool, with_props: bool) -> tuple[list[tuple], list[tuple], int]:
+    """(rows of nodes, rows of properties, greatest depth)."""
+    nodes: list[tuple] = []
+    props: list[tuple] = []
+    i = deepest = 0
     todo = [(plan.root, None, 0, 0)] if plan.root is not None else []
     while todo:
         node, parent, depth, child = todo.pop()
-        i = len(nodes)
-        nodes.append({
-            "node_id": i, "parent_id": parent, "depth": depth, "child_no": child, "type": node.type, "prefixes": node.prefixes, "label": node.title,
-            "relation": node.relation or None, "alias": node.alias or None, "index_name": node.index or None, "subplan_name": node.subplan or None,
-            "cost_start": node.cost_start, "cost_end": node.cost_end, "rows_est": node.rows_est, "rows_actual": node.rows_actual,
-            "time_actual": node.time_actual, "loops": node.loops, "never_executed": node.never,
-        })
-        for k, line in enumerate(node.props):
-            p = parse_prop(line)
-            props.append({"node_id": i, "prop_no": k, "raw": p.raw, "label": p.label, "value": p.value, "kind": p.kind, "fields": p.fields})
-        todo += reversed([(c, i, depth + 1, k) for k, c in enumerate(node.children)])
-    found = [("derived", a) for a in decisions] + [("canonical", _advice.canonical(a)) for a in decisions]
-    found += [("generated", a) for a in plan.generated] + [("supplied", a) for a in plan.supplied]
-    rows = [{"ord": i, "kind": a.kind, "args": a.args, "line": str(a), "origin": o, "annotation": a.annotation or None} for i, (o, a) in enumerate(found)]
-    return {"error": None, "empty": plan.empty, "planning_ms": plan.planning_ms, "execution_ms": plan.execution_ms, "extra": plan.extra, "nodes": nodes, "props": props, "advice": rows}
-
-
-def parsed(text: Column) -> Column:
-    """Struct of all that a capture holds; see PARSED."""
-
-    @F.udf(PARSED, useArrow=True)
-    def one(t: str | None):
-        return _row(t)
-
-    return one(text)
-
-
-def parse_plans(texts: DataFrame, text: str = "text") -> DataFrame:
-    """texts plus `parsed`. Parse once, then take the tables below from the result."""
+        deepest = max(deepest, depth)
+        if with_nodes:
+            nodes.append((
+                i, parent, depth, child, node.type, node.prefixes, node.title, node.relation or None, node.alias or None, node.index or None, node.subplan or None,
+                node.cost_start, node.cost_end, node.rows_est, node.rows_actual, node.time_actual, node.loops, node.never,
+            ))
+        if with_props:
+            for k, line in enumerate(node.props):
+                p = parse_prop(line)
+                props.append((i, k, p.raw, p.label, p.value, p.kind, list(p.fields.items())))
+        todo += [(c, i, depth + 1, k) for k, c in reversed(list(enumerate(node.children)))]
+        i += 1
+    return nodes, props, deepest
+
+
+def _chunk(texts: list[str | None], parts: tuple[str, ...], kind: pa.StructType) -> pa.StructArray:
+    """Column by column; rows of a part hang on their texts by offsets."""
+    read = [_read(t, parts) for t in texts]
+    arrays = [pa.array([r[i] for r in read], field.type) for i, field in enumerate(kind) if field.name not in PARTS]
+    for place, part in enumerate(PARTS):
+        if part in parts:
+            arrays.append(lists([r[place - len(PARTS)] for r in read], kind.field(part).type))
+    return pa.StructArray.from_arrays(arrays, fields=list(kind))
+
+
+def parsed(text: Column, parts: tuple[str, ...] = PARTS) -> Column:
+    """Struct of all that a capture holds, or of some parts of it; see PARSED."""
+    ddl = parsed_type(parts)
+
+    @F.arrow_udf(fields_of(ddl))
+    def read(texts: pa.Array) -> pa.Array:
+        return chunked(texts, CHUNK, lambda some, kind: _chunk(some, parts, kind), ddl)
+
+    return read(text)
+
+
+def parse_plans(texts: DataFrame, text: str = "text", parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """texts plus `parsed`. Parse once, then take the tables below from the result. Where
+    only some tables are taken, `parts` names what they need; `plans` needs none."""
     ship(texts.sparkSession)
-    return texts.withColumn("parsed", parsed(F.col(text)))
+    return texts.withColumn("parsed", parsed(F.col(text), parts))
 
 
 def plans(rows: DataFrame, key: str = "plan_id") -> DataFrame:
@@ -105,27 +143,32 @@ def plans(rows: DataFrame, key: str = "plan_id") -> DataFrame:
 
 
 def plan_nodes(rows: DataFrame, key: str = "plan_id") -> DataFrame:
-    return rows.select(key, F.inline("parsed.nodes"))
+    return unrolled(rows, [key], "parsed.nodes", "node_id")
 
 
 def plan_props(rows: DataFrame, key: str = "plan_id") -> DataFrame:
-    return rows.select(key, F.inline("parsed.props"))
+    return unrolled(rows, [key], "parsed.props", "prop_no")
 
 
 def plan_advice(rows: DataFrame, key: str = "plan_id", origin: str | None = "derived") -> DataFrame:
     """Decisions of a plan: derived, canonical, generated or supplied ones (None: all)."""
-    out = rows.select(key, F.inline("parsed.advice"))
+    out = unrolled(rows, [key], "parsed.advice", "ord")
     return out if origin is None else out.filter(F.col("origin") == origin)
 
 
 def plan_diff(rows: DataFrame, pairs: DataFrame, canonically: bool = False, key: str = "plan_id") -> DataFrame:
     """(pair_id, ord, kind, before, after) of decisions that differ between the plans of
-    a pair (pair_id, before_id, after_id): a full outer join by kind."""
-    lines = plan_advice(rows, key, "canonical" if canonically else "derived").select(F.col(key).alias("id"), "kind", "line", "ord")
-    before = pairs.join(lines, F.col("before_id") == F.col("id")).select("pair_id", "kind", F.col("line").alias("before"), F.col("ord").alias("b"))
-    after = pairs.join(lines, F.col("after_id") == F.col("id")).select("pair_id", "kind", F.col("line").alias("after"), F.col("ord").alias("a"))
-    both = before.join(after, ["pair_id", "kind"], "full").filter(~F.col("before").eqNullSafe(F.col("after")))
-    return both.select("pair_id", F.coalesce("b", F.col("a") + 1000).alias("ord"), "kind", "before", "after")
+    a pair (pair_id, before_id, after_id): a full outer join by kind, as one aggregate."""
+    lines = plan_advice(rows, key, "canonical" if canonically else "derived").select(F.col(key).alias("id"), "kind", F.struct("line", "ord").alias("x"))
+    # Both sides meet their lines in one join, so each capture is parsed once.
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("before_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("after_id").alias("id")))
+    found = pairs.select("pair_id", F.inline(sides)).join(lines, "id")
+    # A pair without an id meets none, so its sides stay apart.
+    apart = F.when(F.col("pair_id").isNull(), F.col("side")).alias("apart")
+    met = found.groupBy("pair_id", "kind", apart).agg(*[F.collect_list(F.when(F.col("side") == i, F.col("x"))).alias(n) for i, n in enumerate(("b", "a"))])
+    both = met.select("pair_id", "kind", F.explode_outer("b").alias("b"), "a").select("pair_id", "kind", "b", F.explode_outer("a").alias("a"))
+    both = both.select("pair_id", F.coalesce("b.ord", F.col("a.ord") + 1000).alias("ord"), "kind", F.col("b.line").alias("before"), F.col("a.line").alias("after"))
+    return both.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def same_structure(rows: DataFrame, pairs: DataFrame, canonically: bool = False, key: str = "plan_id") -> DataFrame:
